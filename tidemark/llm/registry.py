@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import mixing, quality, secret_scan
 
 QUERIES = {
+    "op3_mixing": mixing.query,
     "op5_quality_rules": quality.query,
+    "op6_secret_scan": secret_scan.query,
 }
 ORACLES = {
+    "op3_mixing": mixing.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
 }
