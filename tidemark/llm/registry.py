@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality, secret_scan
+from tidemark.llm import bpe, mixing, quality, secret_scan
 
 QUERIES = {
     "op3_mixing": mixing.query,
     "op5_quality_rules": quality.query,
     "op6_secret_scan": secret_scan.query,
+    "op10_bpe": bpe.query,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
