@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, quality, secret_scan
+from tidemark.llm import bpe, license_scan, mixing, quality, secret_scan
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op3_mixing": mixing.query,
     "op5_quality_rules": quality.query,
     "op6_secret_scan": secret_scan.query,
