@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, license_scan, mixing, quality, secret_scan
+from tidemark.llm import bpe, license_scan, lm, mixing, quality, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
     "op3_mixing": mixing.query,
+    "op4_lm": lm.query,
     "op5_quality_rules": quality.query,
     "op6_secret_scan": secret_scan.query,
     "op10_bpe": bpe.query,
