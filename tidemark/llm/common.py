@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +29,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+class Members:
+    """A bit per hash slot for a set of 64-bit ids: 2**bits bits whatever the set's size, so it can go to every task.
+
+    Ids that are in the set always pass; others pass by chance and are dropped by the exact join that follows.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, bits: int = 24):
+        self.bits = bits
+        value = self.slot(column) + 1  # Spark's bitmap buckets count from 1
+        rows = (
+            ids.select(value.alias("v"))
+            .groupBy(F.bitmap_bucket_number("v").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bitmap"))
+            .collect()  # at most 2**bits / 32768 rows of 4 KB
+        )
+        self.packed = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for r in rows:
+            self.packed[(r.bucket - 1) * 4096 :][:4096] = np.frombuffer(bytes(r.bitmap), dtype=np.uint8)
+
+    def slot(self, column: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - self.bits)
+
+    def inside(self, slots: np.ndarray) -> np.ndarray:
+        return (self.packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

@@ -125,3 +125,15 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     for k in range(size):
         h = mix(h * BASE + hashes[at + k])
     return h, out_bounds
+
+
+def sequence_digests(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each text's whole sequence of word hashes."""
+    n = np.diff(bounds)
+    place = (np.arange(len(hashes)) - np.repeat(bounds[:-1], n) + 1).astype(np.uint64)
+    out = []
+    for salt in (1, 2):
+        step = mix(place * np.uint64(0xA24BAED4963EE407) + np.uint64(salt))
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ step), dtype=np.uint64)]
+        out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)))
+    return out[0], out[1]
