@@ -28,6 +28,7 @@ import types
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -254,7 +255,7 @@ def encoder(path: str, with_ids: bool = False):
                     joined, tokens = " ".join([e[1] for e in each]), " ".join([e[2] for e in each])
                     rows[0].append(sum([e[0] for e in each]))
                     if with_ids:
-                        rows[1].append([int(x) for x in joined.split()])
+                        rows[1].append(np.fromstring(joined, dtype=np.int32, sep=" "))
                         rows[2].append(tokens)
                     else:
                         rows[1].append(hashlib.sha256(joined.encode()).hexdigest())

@@ -17,7 +17,7 @@ an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ SEED = "mix-1"
 RANGE_DIGITS = 3
 
 
-def keyed(docs: DataFrame, seed: str = SEED, digits: int = RANGE_DIGITS) -> DataFrame:
-    """doc_id, source, skey, size, key and range of every document; no text."""
+def keyed(docs: DataFrame, seed: str = SEED, digits: int = RANGE_DIGITS, carry: Column | None = None) -> DataFrame:
+    """doc_id, source, skey, size, key and range of every document; no text but what carry holds."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     return docs.select(
@@ -43,6 +43,7 @@ def keyed(docs: DataFrame, seed: str = SEED, digits: int = RANGE_DIGITS) -> Data
         size.alias("size"),
         key.alias("key"),
         F.conv(F.substring(key, 1, digits), 16, 10).cast("int").alias("range"),
+        *([] if carry is None else [carry]),
     )
 
 
@@ -74,17 +75,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return df.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words of the document that the mix takes)."""
-    rows = cut_lineage(keyed(docs, seed))
+def _ranges(rows: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """skey, range, range_start (words of the source before the range), source_size and target; from keyed rows."""
     by_range = rows.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     sizes = by_range.groupBy("skey").agg(F.sum("range_size").alias("source_size"), F.first("source").alias("source"))
     earlier = W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
-    ranges = (
+    return (
         by_range.withColumn("range_start", F.sum("range_size").over(earlier) - F.col("range_size"))
         .join(targets(sizes, weights, share, most), "skey")
         .select("skey", "range", "range_start", "source_size", "target")
     )
+
+
+def _cut(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows with source_size, target, epochs (whole passes) and part (words of the last, partial pass)."""
     inside = W.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -95,11 +99,47 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
         .withColumn("start", start)
         .withColumn("epochs", epochs)
         .withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("start"))))
-        .withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
     )
 
 
+def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words of the document that the mix takes)."""
+    rows = cut_lineage(keyed(docs, seed))
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    return _cut(rows, _ranges(rows, weights, share, most)).select(
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken")
+    )
+
+
+def mixed(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
+    """The mix itself, with docs' columns: a row for each whole pass, and one with the first words for a partial pass.
+
+    n_chars, where docs has it, counts the characters of the row's own text.
+    """
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    rows = keyed(docs, seed, carry=whole)
+    df = _cut(rows, _ranges(keyed(docs, seed), weights, share, most))
+    text = F.col("doc.text")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    short = F.array_join(F.slice(pieces, 1, F.col("part").cast("int")), "")
+    passes = F.concat(
+        F.array_repeat(text, F.col("epochs").cast("int")),
+        F.when(F.col("part") == 0, F.array().cast("array<string>"))
+        .when(F.col("part") == F.col("size"), F.array(text))
+        .otherwise(F.array(short)),
+    )
+    df = df.select("doc", F.explode(passes).alias("pass"))
+    return df.select(
+        *[
+            F.col("pass").alias(c) if c == "text"
+            else F.length("pass").cast("long").alias(c) if c == "n_chars"
+            else F.col(f"doc.`{c}`").alias(c)
+            for c in names
+        ]
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mix(read_table(spark, sf_dir, "documents"))
     return df.select("doc_id", "size", "source_size", "target", "taken")

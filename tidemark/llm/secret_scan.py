@@ -205,6 +205,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataF
     return df.withColumn(text, out).drop("secret_spans")
 
 
+def length_of(docs: DataFrame, text: str) -> Column:
+    """Code points of a text column, as long; null for null."""
+    return F.length(docs[text]).cast("long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secret_spans")
