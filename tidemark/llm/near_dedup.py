@@ -10,7 +10,7 @@ Jaccard similarity. ROWS draws make a band; texts that share a band meet in a
 bucket, and pairs are verified by the exact weighted Jaccard of their shingles.
 
 Copies with the same words fall together first and stand as one. In a bucket
-every text is held against the bucket's smallest one (a star, not all pairs);
+every text is held against one centre (a star, not all pairs);
 a text that stays outside that one's class becomes a star's centre in turn and
 is held against all that are not in its class, until each has had its turn. So
 pairs within one class are not made, and no link between classes is skipped.
@@ -44,8 +44,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 DF_BITS = 18
 SLICE_BYTES = 4_000_000
-#: New centres that a bucket tries in one round.
-CENTRES = 8
+#: Pairs that a bucket may add in one round, and the least number of new centres whatever its size.
+ROUND_PAIRS, CENTRES = 20_000, 8
 
 
 def features(column: pa.Array):
@@ -98,7 +98,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
             [pa.array(np.r_[-1, slot].astype(np.int32)), pa.array(np.r_[n, total[slot]])], names=["slot", "n"]
         )
 
-    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(1 << DF_BITS)
     slot, n = rows["slot"].to_numpy(), rows["n"].to_numpy()
     df[slot[slot >= 0]] = n[slot >= 0]
@@ -230,19 +230,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keys = usable.join(reps.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").select(
         F.col("doc_id").alias("id"), "d1", "d2", F.explode("bands").alias("key")
     ).distinct()
-    buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # the first centre is the smallest by a hash of (bucket, id), so that a text meets other centres in its other bands
+    draw = F.xxhash64("key", "id")
+    buckets = keys.groupBy("key").agg(F.min_by("id", draw).alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(keys.join(buckets, "key"))
     vecs = cut_lineage(vectors(docs, members.select("id", "d1", "d2").distinct()))
-    members = members.select("key", "id", "hub")
+    members = members.select("key", "id", "hub", "n")
     tested = cut_lineage(members.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct())
     links = cut_lineage(verified(tested, vecs, idf, threshold))
     turns = members.where("id = hub").select("key", "id")
     while True:
         labels = components(links, "x", "y")
-        named = members.join(labels, "id", "left").select("key", "id", "hub", F.coalesce("label", "id").alias("label"))
+        named = members.join(labels, "id", "left").select("key", "id", "hub", "n", F.coalesce("label", "id").alias("label"))
         hub_label = named.where("id = hub").select("key", F.col("label").alias("hub_label"))
         outside = named.join(hub_label, "key").where("label <> hub_label").join(turns, ["key", "id"], "left_anti")
-        lane = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
+        lane = F.pmod(F.xxhash64("id"), F.greatest(F.lit(CENTRES), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))))
         centres = cut_lineage(outside.groupBy("key", lane.alias("lane")).agg(F.min(F.struct("id", "label")).alias("c")))
         if centres.isEmpty():
             break
