@@ -51,8 +51,9 @@ class Members:
     Ids that are in the set always pass; others pass by chance and are dropped by the exact join that follows.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = 24):
-        self.bits = bits
+    def __init__(self, ids: DataFrame, column: str, bits: int = 24, hashed: bool = False):
+        """hashed: the ids are hashes themselves, so their high bits are the slot."""
+        self.bits, self.hashed = bits, hashed
         value = self.slot(column) + 1  # Spark's bitmap buckets count from 1
         rows = (
             ids.select(value.alias("v"))
@@ -65,7 +66,10 @@ class Members:
             self.packed[(r.bucket - 1) * 4096 :][:4096] = np.frombuffer(bytes(r.bitmap), dtype=np.uint8)
 
     def slot(self, column: str) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - self.bits)
+        return F.shiftrightunsigned(F.col(column) if self.hashed else F.xxhash64(F.col(column)), 64 - self.bits)
 
     def inside(self, slots: np.ndarray) -> np.ndarray:
         return (self.packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+    def inside_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        return self.inside((hashes >> np.uint64(64 - self.bits)).astype(np.int64))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, license_scan, line_dedup, lm, mixing, near_dedup, quality, secret_scan
+from tidemark.llm import bpe, license_scan, line_dedup, lm, mixing, near_dedup, quality, search, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_search": search.query,
     "op3_mixing": mixing.query,
     "op4_lm": lm.query,
     "op5_quality_rules": quality.query,
