@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, license_scan, line_dedup, lm, mixing, near_dedup, quality, search, secret_scan
+from tidemark.llm import bpe, license_scan, line_dedup, lm, mixing, near_dedup, quality, repeat_removal, search, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_lm": lm.query,
     "op5_quality_rules": quality.query,
     "op6_secret_scan": secret_scan.query,
+    "op8_repeat_removal": repeat_removal.query,
     "op7_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.query,
     "op10_bpe": bpe.query,
