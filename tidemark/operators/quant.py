@@ -75,7 +75,7 @@ def portfolio(df: DataFrame, weights: DataFrame) -> DataFrame:
     """Value by date of a portfolio (symbol, weight; normalised) whose parts start at 100, over dates that all parts have."""
     total = weights.agg(F.sum("weight")).scalar()
     n = weights.agg(F.count("*")).scalar()
-    first = F.first("close").over(S.BY.rowsBetween(W.unboundedPreceding, 0))
+    first = F.first("close").over(S.by().rowsBetween(W.unboundedPreceding, 0))
     parts = df.withColumn("norm", 100 * F.col("close") / first).join(F.broadcast(weights), "symbol")
     nav = parts.groupBy("date").agg(F.sum(F.col("norm") * F.col("weight")).alias("v"), F.count("*").alias("parts"))
     return nav.where(F.col("parts") == n).select("date", (F.col("v") / total).alias("nav"))

@@ -7,30 +7,32 @@ serve a whole chain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("symbol").orderBy("date")
+def by() -> WindowSpec:
+    """A symbol's bars in date order."""
+    return W.partitionBy("symbol").orderBy("date")
 
 
-def last(n: int) -> W:
+def last(n: int) -> WindowSpec:
     """The n bars up to the current one."""
-    return BY.rowsBetween(-(n - 1), 0)
+    return by().rowsBetween(-(n - 1), 0)
 
 
-def before(n: int) -> W:
+def before(n: int) -> WindowSpec:
     """The n bars before the current one."""
-    return BY.rowsBetween(-n, -1)
+    return by().rowsBetween(-n, -1)
 
 
 def warm(n: int, value: Column) -> Column:
     """value from the n-th bar on."""
-    return F.when(F.row_number().over(BY) >= n, value)
+    return F.when(F.row_number().over(by()) >= n, value)
 
 
 def returns(df: DataFrame) -> DataFrame:
-    prior = F.lag("close").over(BY)
+    prior = F.lag("close").over(by())
     return df.withColumn("ret", F.col("close") / prior - 1).withColumn("log_ret", F.ln(F.col("close") / prior))
 
 
@@ -40,7 +42,7 @@ def sma(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
 
 def rsi(df: DataFrame, n: int = 14, name: str = "rsi", neutral: float | None = None) -> DataFrame:
     """Simple (not smoothed) means of gains and losses over n moves; 100 where nothing was lost."""
-    move = F.col("close") - F.lag("close").over(BY)
+    move = F.col("close") - F.lag("close").over(by())
     df = df.withColumn("__g", F.greatest(move, F.lit(0.0))).withColumn("__l", F.greatest(-move, F.lit(0.0)))
     gain, loss = F.avg("__g").over(last(n)), F.avg("__l").over(last(n))
     value = F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss))
@@ -65,9 +67,9 @@ def percent_b_before(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def obv(df: DataFrame) -> DataFrame:
-    move = F.col("close") - F.lag("close").over(BY)
+    move = F.col("close") - F.lag("close").over(by())
     df = df.withColumn("__v", F.when(move > 0, F.col("volume")).when(move < 0, -F.col("volume")).otherwise(0.0))
-    return df.withColumn("obv", F.sum("__v").over(BY.rowsBetween(W.unboundedPreceding, 0))).drop("__v")
+    return df.withColumn("obv", F.sum("__v").over(by().rowsBetween(W.unboundedPreceding, 0))).drop("__v")
 
 
 def stochastic(df: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
@@ -81,7 +83,7 @@ def stochastic(df: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
 
 def vwap(df: DataFrame) -> DataFrame:
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    run = BY.rowsBetween(W.unboundedPreceding, 0)
+    run = by().rowsBetween(W.unboundedPreceding, 0)
     volume = F.sum("volume").over(run)
     df = df.withColumn("__t", typical * F.col("volume"))
     return df.withColumn("vwap", F.when(volume > 0, F.sum("__t").over(run) / volume).otherwise(F.col("close"))).drop("__t")
@@ -96,16 +98,16 @@ def volatility(df: DataFrame, n: int = 20, periods: int = 252) -> DataFrame:
 
 
 def drawdown(df: DataFrame, column: str = "close") -> DataFrame:
-    peak = F.max(column).over(BY.rowsBetween(W.unboundedPreceding, 0))
+    peak = F.max(column).over(by().rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn("drawdown", F.col(column) / peak - 1)
-    return df.withColumn("max_drawdown", F.min("drawdown").over(BY.rowsBetween(W.unboundedPreceding, 0)))
+    return df.withColumn("max_drawdown", F.min("drawdown").over(by().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def momentum(df: DataFrame) -> DataFrame:
     """Rates of change over 5, 10, 20 and 60 bars in percent (0 where history is short), and their weighted score."""
     score = F.lit(0.0)
     for n, w in ((5, 0.4), (10, 0.3), (20, 0.2), (60, 0.1)):
-        roc = F.coalesce((F.col("close") / F.lag("close", n).over(BY) - 1) * 100, F.lit(0.0))
+        roc = F.coalesce((F.col("close") / F.lag("close", n).over(by()) - 1) * 100, F.lit(0.0))
         df = df.withColumn(f"roc{n}", roc)
         score = score + w * F.col(f"roc{n}")
     return df.withColumn("momentum", score)
@@ -132,11 +134,11 @@ def ichimoku(df: DataFrame) -> DataFrame:
         return warm(n + 1, (F.max("high").over(last(n)) + F.min("low").over(last(n))) / 2)
 
     df = df.withColumn("tenkan", middle(9)).withColumn("kijun", middle(26)).withColumn("span_b", middle(52))
-    return df.withColumn("span_a", (F.col("tenkan") + F.col("kijun")) / 2).withColumn("chikou", F.lag("close", 26).over(BY))
+    return df.withColumn("span_a", (F.col("tenkan") + F.col("kijun")) / 2).withColumn("chikou", F.lag("close", 26).over(by()))
 
 
 def label_ahead(df: DataFrame, n: int = 5, gain: float = 0.005) -> DataFrame:
-    return df.withColumn("label", (F.lead("close", n).over(BY) / F.col("close") > 1 + gain).cast("int"))
+    return df.withColumn("label", (F.lead("close", n).over(by()) / F.col("close") > 1 + gain).cast("int"))
 
 
 def volume_ratio(df: DataFrame, n: int = 20, cap: float = 5.0) -> DataFrame:
@@ -201,7 +203,7 @@ def macd_live(df: DataFrame) -> DataFrame:
 
 def atr(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's mean of true ranges, seeded with the mean of the first n."""
-    prior = F.lag("close").over(BY)
+    prior = F.lag("close").over(by())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))
     df = df.withColumn("tr", F.when(prior.isNotNull(), tr))
     kind = "struct<i:int,sum:double,v:double>"

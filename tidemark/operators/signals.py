@@ -13,7 +13,7 @@ from tidemark.operators import series as S
 
 def _crossing(a: Column, b: Column) -> Column:
     """BUY where a rises over b, SELL where it falls under it."""
-    pa, pb = F.lag(a).over(S.BY), F.lag(b).over(S.BY)
+    pa, pb = F.lag(a).over(S.by()), F.lag(b).over(S.by())
     return F.when((pa <= pb) & (a > b), "BUY").when((pa >= pb) & (a < b), "SELL").otherwise("HOLD")
 
 
@@ -34,7 +34,7 @@ def bollinger_reversion(df: DataFrame) -> DataFrame:
 
 
 def momentum_sign(df: DataFrame, n: int = 20) -> DataFrame:
-    roc = F.col("close") / F.lag("close", n).over(S.BY) - 1
+    roc = F.col("close") / F.lag("close", n).over(S.by()) - 1
     return df.withColumn("action", F.when(roc > 0, "BUY").when(roc < 0, "SELL").otherwise("HOLD"))
 
 
@@ -50,12 +50,12 @@ STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 def evaluate(df: DataFrame, lagged: bool = True) -> DataFrame:
     """Value of being long after a BUY and flat after a SELL, by bar; lagged: a signal acts on the next bar's return."""
     held = F.last(F.when(F.col("action") == "BUY", 1).when(F.col("action") == "SELL", 0), ignorenulls=True).over(
-        S.BY.rowsBetween(W.unboundedPreceding, 0)
+        S.by().rowsBetween(W.unboundedPreceding, 0)
     )
     df = S.returns(df).withColumn("position", F.coalesce(held, F.lit(0)))
-    pos = F.coalesce(F.lag("position").over(S.BY), F.lit(0)) if lagged else F.col("position")
+    pos = F.coalesce(F.lag("position").over(S.by()), F.lit(0)) if lagged else F.col("position")
     df = df.withColumn("gain", F.log1p(pos * F.coalesce("ret", F.lit(0.0))))
-    return df.withColumn("nav", 100 * F.exp(F.sum("gain").over(S.BY.rowsBetween(W.unboundedPreceding, 0)))).drop("gain")
+    return df.withColumn("nav", 100 * F.exp(F.sum("gain").over(S.by().rowsBetween(W.unboundedPreceding, 0)))).drop("gain")
 
 
 def sweep(df: DataFrame, names: list[str] | None = None) -> DataFrame:

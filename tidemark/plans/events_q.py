@@ -186,7 +186,7 @@ def activity_items(spark, d):
   SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS share FROM a), u AS (
   SELECT c_custkey AS user_id, r_name AS home FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   WHERE c_custkey IN (SELECT user_id FROM events)), e AS (
-  SELECT id, category, severity, region, severity * greatest(0.4, exp(-((epoch({NOW}) // 1) - (epoch(ts) // 1)) / 3600 / 72)) AS heat
+  SELECT id, category, severity, region, severity * greatest(0.4, exp(-(date_diff('second', ts, {NOW}) / 3600) / 72)) AS heat
   FROM v_event WHERE ts > {NOW} - INTERVAL 24 HOUR), s AS (
   SELECT u.user_id, e.id, 0.5 * severity / 10 + 0.2 * heat / 10
    + 0.3 * (coalesce(share, 0.05) + CASE WHEN home = region THEN 0.3 ELSE 0.1 END) AS score
