@@ -145,8 +145,15 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that no rule rejects, with their own columns only."""
-    return judge(docs, rules).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that no rule rejects, with their own columns only.
+
+    A row is kept by exploding an array of one or no element: a filter would be
+    pushed below the projections, and each metric would be computed again
+    wherever the filter's expression names it.
+    """
+    judged = judge(docs, rules)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return judged.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("__one")).drop("__one")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
