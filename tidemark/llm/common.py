@@ -29,14 +29,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder and read back."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
@@ -45,6 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a written table.
+
+    Not by checkpoint(): that keeps the size estimate of the plan it cuts, and
+    in a loop of joins the estimates multiply until planning itself takes
+    minutes. A table has its files' sizes.
+    """
+    return stored(df)
+
+
 class Members:
     """A bit per hash slot for a set of 64-bit ids: 2**bits bits whatever the set's size, so it can go to every task.
 
