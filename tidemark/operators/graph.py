@@ -1,7 +1,7 @@
 """Graph jobs over an edge table (src, tgt, weight): joins, aggregates, and driver loops whose state stays in Spark.
 
-Every round of a loop reads its state more than once, so the state is cut from
-its lineage by checkpoint() each round.
+Every round of a loop reads its state more than once, so the state is written
+to the shared folder and read back each round.
 """
 
 from __future__ import annotations

@@ -21,28 +21,28 @@ POS = f"""isl AS (SELECT *, coalesce(sum(CASE WHEN side = 'SELL' THEN 1 ELSE 0 E
 T = f"WITH {V.TRADE_SQL}, {POS}"
 
 
-@query("w31_positions", f"""{T} SELECT bot, symbol, count(*) AS n, round(sum(pnl), 3) AS pnl, round(max(held), 3) AS most_held FROM pos GROUP BY 1, 2""")
+@query("w31_positions", f"""{T} SELECT bot, symbol, count(*) AS n, round(sum(pnl), 5) AS pnl, round(max(held), 3) AS most_held FROM pos GROUP BY 1, 2""")
 def positions(spark, d):
     df = L.positions(V.trades(spark, d)).groupBy("bot", "symbol")
-    return df.agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 3).alias("pnl"), F.round(F.max("held"), 3).alias("most_held"))
+    return df.agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 5).alias("pnl"), F.round(F.max("held"), 3).alias("most_held"))
 
 
-@query("a17_bot_stats", f"""{T} SELECT bot, count(*) AS trades, round(sum(pnl), 3) AS realised, count(*) FILTER (pnl > 0) AS wins,
+@query("a17_bot_stats", f"""{T} SELECT bot, count(*) AS trades, round(sum(pnl), 5) AS realised, count(*) FILTER (pnl > 0) AS wins,
   round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate FROM pos GROUP BY bot""")
 def bot_stats(spark, d):
     df = L.bot_stats(V.trades(spark, d))
-    return df.select("bot", "trades", F.round("realised", 3).alias("realised"), "wins", F.round("win_rate", 6).alias("win_rate"))
+    return df.select("bot", "trades", F.round("realised", 5).alias("realised"), "wins", F.round("win_rate", 6).alias("win_rate"))
 
 
 @query("x10_open_positions", f"""{T}, l AS (SELECT bot, symbol, arg_max(side, row({ORDER})) AS side, arg_max(held, row({ORDER})) AS qty,
   arg_max(avg_price, row({ORDER})) AS ap FROM pos GROUP BY 1, 2), q AS (SELECT symbol, max(price) AS quote FROM v_trade WHERE symbol < 40 GROUP BY 1)
-  SELECT bot, l.symbol, round(qty, 3) AS qty, round(ap, 4) AS avg_price, round(qty * coalesce(quote, ap), 3) AS value,
-  round(qty * (coalesce(quote, ap) - ap), 3) AS unrealised FROM l LEFT JOIN q ON l.symbol = q.symbol WHERE side = 'BUY' AND qty > 0""")
+  SELECT bot, l.symbol, round(qty, 3) AS qty, round(ap, 4) AS avg_price, round(qty * coalesce(quote, ap), 5) AS value,
+  round(qty * (coalesce(quote, ap) - ap), 5) AS unrealised FROM l LEFT JOIN q ON l.symbol = q.symbol WHERE side = 'BUY' AND qty > 0""")
 def open_positions(spark, d):
     t = V.trades(spark, d)
     quotes = t.where("symbol < 40").groupBy("symbol").agg(F.max("price").alias("quote"))
     df = L.open_positions(t, quotes)
-    return df.select("bot", "symbol", F.round("qty", 3).alias("qty"), F.round("avg_price", 4).alias("avg_price"), F.round("value", 3).alias("value"), F.round("unrealised", 3).alias("unrealised"))
+    return df.select("bot", "symbol", F.round("qty", 3).alias("qty"), F.round("avg_price", 4).alias("avg_price"), F.round("value", 5).alias("value"), F.round("unrealised", 5).alias("unrealised"))
 
 
 @query("x9_outcomes", f"""{B}, m AS (SELECT *, CASE WHEN {N} >= 10 THEN avg(close) {last(10)} END AS a, CASE WHEN {N} >= 30 THEN avg(close) {last(30)} END AS b FROM v_bar),

@@ -28,11 +28,11 @@ N = f"row_number() {O})"
 
 
 def pick(df, *names, digits: int = 6):
-    return df.select(*KEY, *[F.round(c, digits).alias(c) for c in names])
+    return df.select(*KEY, *[(F.round(c, digits) + 0.0).alias(c) for c in names])
 
 
 def out(*names, digits: int = 6) -> str:
-    return ", ".join(["symbol", "date", *[f"round({c}, {digits}) AS {c}" for c in names]])
+    return ", ".join(["symbol", "date", *[f"round({c}, {digits}) + 0.0 AS {c}" for c in names]])
 
 
 @query("s12_bars", f"{B} SELECT {out('open', 'high', 'low', 'close', 'volume')} FROM v_bar")

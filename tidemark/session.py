@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a checkpoint in the session's folder (one of our own only where none is set, as in tests)."""
+    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read back, which cuts its lineage.
+
+    Not checkpoint(): that keeps the estimated size of the plan it cuts, and in a
+    loop of joins the estimates multiply until planning takes minutes. Only where
+    no folder is set, as in tests, one of our own is used.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = spark.conf.get("spark.tidemark.folder", None) or tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.tidemark.folder", folder)
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
