@@ -79,3 +79,31 @@ def portfolio(df: DataFrame, weights: DataFrame) -> DataFrame:
     parts = df.withColumn("norm", 100 * F.col("close") / first).join(F.broadcast(weights), "symbol")
     nav = parts.groupBy("date").agg(F.sum(F.col("norm") * F.col("weight")).alias("v"), F.count("*").alias("parts"))
     return nav.where(F.col("parts") == n).select("date", (F.col("v") / total).alias("nav"))
+
+
+def factor_regression(df: DataFrame, factors: list[str]) -> DataFrame:
+    """Beta and R2 of every symbol's returns on each factor symbol's."""
+    r = S.returns(df).where("ret IS NOT NULL").select("symbol", "date", "ret")
+    f = r.where(F.col("symbol").isin(factors)).select(F.col("symbol").alias("factor"), "date", F.col("ret").alias("x"))
+    both = r.join(f, "date").where(F.col("symbol") != F.col("factor"))
+    return both.groupBy("symbol", "factor").agg(F.regr_slope("ret", "x").alias("beta"), F.regr_r2("ret", "x").alias("r2"))
+
+
+def principal_components(df: DataFrame, k: int) -> DataFrame:
+    """Each date's returns of all symbols (a column each; dates with all of them) standardised and projected on k components."""
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    r = S.returns(df).where("ret IS NOT NULL")
+    names = sorted(x.symbol for x in r.select("symbol").distinct().collect())  # the columns of the matrix
+    wide = r.groupBy("date").pivot("symbol", names).agg(F.first("ret")).na.drop()
+    for i, n in enumerate(names):
+        wide = wide.withColumnRenamed(n, f"c{i}")
+    rows = VectorAssembler(inputCols=[f"c{i}" for i in range(len(names))], outputCol="raw").transform(wide)
+    rows = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows).transform(rows)
+    model = PCA(k=k, inputCol="scaled", outputCol="pc").fit(rows)
+    share = model.explainedVariance.toArray()
+    out = model.transform(rows).withColumn("p", vector_to_array("pc"))
+    return out.select(
+        "date", *[F.abs(F.col("p")[i]).alias(f"pc{i + 1}") for i in range(k)], *[F.lit(float(share[i] / share.sum())).alias(f"share{i + 1}") for i in range(k)]
+    )

@@ -216,3 +216,77 @@ def atr(df: DataFrame, n: int = 14) -> DataFrame:
         return F.when(x.isNull(), s).otherwise(grown)
 
     return _fold(df, step, zero, kind, "__s").withColumn("atr", F.col("__s.v")).drop("__s")
+
+
+def adx(df: DataFrame, n: int = 14) -> DataFrame:
+    """Directional indicators and ADX: moves smoothed as Wilder's running sum over Wilder's mean range, ADX the mean of the newest n DX."""
+    p = {c: F.lag(c).over(by()) for c in ("high", "low", "close")}
+    up, down = F.col("high") - p["high"], p["low"] - F.col("low")
+    df = (
+        df.withColumn("pdm", F.when((up > down) & (up > 0), up).otherwise(0.0))
+        .withColumn("mdm", F.when((down > up) & (down > 0), down).otherwise(0.0))
+        .withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p["close"]), F.abs(F.col("low") - p["close"])))
+        .withColumn("__i", F.row_number().over(by()) - 1)
+    )
+    names = ("pdm", "mdm", "tr")
+    kind = "struct<p:double,m:double,t:double>"
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "pmt"])
+
+    def step(s: Column, bar: Column) -> Column:
+        warm_up = bar["__i"] <= n  # plain sums until there are n moves
+        x = {k: F.coalesce(F.when(bar["__i"] > 0, bar[c]), F.lit(0.0)) for k, c in zip("pmt", names, strict=True)}
+        sums = [F.when(warm_up, s[k] + x[k]).otherwise(s[k] - s[k] / n + x[k]).alias(k) for k in "pm"]
+        mean = F.when(bar["__i"] < n, s["t"] + x["t"]).when(bar["__i"] == n, (s["t"] + x["t"]) / n).otherwise((s["t"] * (n - 1) + x["t"]) / n)
+        return F.struct(*sums, mean.alias("t"))
+
+    df = _fold(df, step, zero, kind, "__s")
+    ready = (F.col("__i") >= n) & (F.col("__s.t") > 0)
+    df = df.withColumn("di_plus", F.when(ready, 100 * F.col("__s.p") / F.col("__s.t")))
+    df = df.withColumn("di_minus", F.when(ready, 100 * F.col("__s.m") / F.col("__s.t")))
+    total = F.col("di_plus") + F.col("di_minus")
+    df = df.withColumn("dx", F.when(total > 0, 100 * F.abs(F.col("di_plus") - F.col("di_minus")) / total))
+    out = df.withColumn("adx", F.when(F.col("__i") >= 2 * n, F.avg("dx").over(last(n))))
+    return out.drop("__s", "__i", "pdm", "mdm", "tr", "dx")
+
+
+def regime(df: DataFrame) -> DataFrame:
+    """volatile where recent volatility is half above its mean, else by the 20- and 50-bar means 1.5 % apart; unknown before 50 bars."""
+    df = sma(sma(returns(df), 20), 50).withColumn("__v", F.stddev_samp("ret").over(last(20)))
+    mean = F.avg("__v").over(by().rowsBetween(W.unboundedPreceding, 0))
+    label = (
+        F.when(F.col("sma50").isNull(), "unknown")
+        .when(F.col("__v") > 1.5 * mean, "volatile")
+        .when(F.col("sma20") > 1.015 * F.col("sma50"), "up")
+        .when(F.col("sma20") < 0.985 * F.col("sma50"), "down")
+        .otherwise("ranging")
+    )
+    return df.withColumn("regime", label).drop("__v")
+
+
+def performance_at_end(df: DataFrame) -> DataFrame:
+    """Per symbol the newest close and its change over one, four and nineteen bars, in percent."""
+    change = {n: (F.col("close") / F.lag("close", n).over(by()) - 1) * 100 for n in (1, 4, 19)}
+    df = df.select("symbol", "date", "close", *[c.alias(f"d{n}") for n, c in change.items()])
+    newest = df.groupBy("symbol").agg(F.max_by(F.struct("close", "d1", "d4", "d19"), "date").alias("x"))
+    return newest.select("symbol", "x.*")
+
+
+def thin(df: DataFrame, most: int = 300) -> DataFrame:
+    """Every k-th bar of a symbol, so that about most of them stay."""
+    n = F.count("*").over(W.partitionBy("symbol"))
+    place = F.row_number().over(by()) - 1
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / most))
+    return df.withColumn("__n", n).withColumn("__p", place).where(F.col("__p") % step == 0).drop("__n", "__p")
+
+
+def reaction(df: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """For events (key, symbol, on): the first bar on or after the day, the returns after 1, 2 and 5 bars (the last bar where they end), and volatility after over before."""
+    df = returns(df).withColumn("i", F.row_number().over(by()))
+    ahead = [F.coalesce(F.lead("close", n).over(by()), F.last("close").over(by().rowsBetween(0, W.unboundedFollowing))) for n in (1, 2, 5)]
+    df = df.select(
+        "symbol", "date", "close", *[(a / F.col("close") - 1).alias(f"r{n}") for a, n in zip(ahead, (1, 2, 5), strict=True)],
+        (F.avg(F.abs("ret")).over(by().rowsBetween(1, 5)) / F.avg(F.abs("ret")).over(before(10))).alias("spike"),
+    )
+    near = events.join(df.select("symbol", "date"), "symbol").where(F.col("date") >= F.col("on"))
+    first = near.groupBy(key, "symbol", "on").agg(F.min("date").alias("date"))
+    return first.join(df, ["symbol", "date"])

@@ -72,3 +72,31 @@ def sweep(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         agg = agg.withColumn("strategy", F.lit(name))
         out = agg if out is None else out.unionByName(agg)
     return out
+
+
+def vote(df: DataFrame, weights: dict[str, float], least: float = 0.15) -> DataFrame:
+    """Net weighted vote of strategies for every bar, and the action beyond least either way."""
+    out = df
+    net = F.lit(0.0)
+    for i, (name, w) in enumerate(weights.items()):
+        out = STRATEGIES[name](out).withColumnRenamed("action", f"__v{i}")
+        net = net + F.when(F.col(f"__v{i}") == "BUY", w).when(F.col(f"__v{i}") == "SELL", -w).otherwise(0.0)
+    out = out.withColumn("net", net)
+    act = F.when(F.col("net") > least, "BUY").when(F.col("net") < -least, "SELL").otherwise("HOLD")
+    return out.withColumn("action", act).drop(*[f"__v{i}" for i in range(len(weights))])
+
+
+def walk_forward(df: DataFrame, name: str, windows: int, inside: float = 0.7) -> DataFrame:
+    """Log gains of a strategy in the first part and the rest of each of a symbol's windows of bars."""
+    df = evaluate(STRATEGIES[name](df))
+    nav = F.col("nav")
+    gain = F.coalesce(F.ln(nav / F.lag("nav").over(S.by())), F.ln(nav / 100))
+    n = F.count("*").over(W.partitionBy("symbol"))
+    place = F.row_number().over(S.by()) - 1
+    df = df.withColumn("gain", gain).withColumn("window", F.least(F.lit(windows - 1), F.floor(place * windows / n)).cast("int"))
+    own = W.partitionBy("symbol", "window")
+    df = df.withColumn("j", F.row_number().over(own.orderBy("date")) - 1).withColumn("m", F.count("*").over(own))
+    first = F.col("j") < inside * F.col("m")
+    return df.groupBy("symbol", "window").agg(
+        F.sum(F.when(first, F.col("gain")).otherwise(0.0)).alias("inside"), F.sum(F.when(first, 0.0).otherwise(F.col("gain"))).alias("outside")
+    )

@@ -36,13 +36,13 @@ def bot_stats(spark, d):
 
 @query("x10_open_positions", f"""{T}, l AS (SELECT bot, symbol, arg_max(side, row({ORDER})) AS side, arg_max(held, row({ORDER})) AS qty,
   arg_max(avg_price, row({ORDER})) AS ap FROM pos GROUP BY 1, 2), q AS (SELECT symbol, max(price) AS quote FROM v_trade WHERE symbol < 40 GROUP BY 1)
-  SELECT bot, l.symbol, round(qty, 3) AS qty, round(ap, 4) AS avg_price, round(qty * coalesce(quote, ap), 5) AS value,
+  SELECT bot, l.symbol, round(qty, 3) AS qty, round(ap, 6) AS avg_price, round(qty * coalesce(quote, ap), 5) AS value,
   round(qty * (coalesce(quote, ap) - ap), 5) AS unrealised FROM l LEFT JOIN q ON l.symbol = q.symbol WHERE side = 'BUY' AND qty > 0""")
 def open_positions(spark, d):
     t = V.trades(spark, d)
     quotes = t.where("symbol < 40").groupBy("symbol").agg(F.max("price").alias("quote"))
     df = L.open_positions(t, quotes)
-    return df.select("bot", "symbol", F.round("qty", 3).alias("qty"), F.round("avg_price", 4).alias("avg_price"), F.round("value", 5).alias("value"), F.round("unrealised", 5).alias("unrealised"))
+    return df.select("bot", "symbol", F.round("qty", 3).alias("qty"), F.round("avg_price", 6).alias("avg_price"), F.round("value", 5).alias("value"), F.round("unrealised", 5).alias("unrealised"))
 
 
 @query("x9_outcomes", f"""{B}, m AS (SELECT *, CASE WHEN {N} >= 10 THEN avg(close) {last(10)} END AS a, CASE WHEN {N} >= 30 THEN avg(close) {last(30)} END AS b FROM v_bar),

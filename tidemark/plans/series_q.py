@@ -270,3 +270,71 @@ def ma_cross(spark, d):
 def sweep(spark, d):
     df = X.sweep(V.bars(spark, d), ["rsi_reversion", "bollinger_reversion"])
     return df.select("symbol", "strategy", "buys", "sells", F.round("final_nav", 5).alias("final_nav"), F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+@query("w13_adx")
+def adx(spark, d):
+    return pick(S.adx(V.bars(spark, d)), "di_plus", "di_minus", "adx")
+
+
+@query("w20_performance", f"""{B}, m AS (SELECT symbol, date, close, (close / lag(close, 1) {O}) - 1) * 100 AS d1, (close / lag(close, 4) {O}) - 1) * 100 AS d4,
+  (close / lag(close, 19) {O}) - 1) * 100 AS d19, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS p FROM v_bar)
+  SELECT symbol, round(close, 6) AS close, round(d1, 6) + 0.0 AS d1, round(d4, 6) + 0.0 AS d4, round(d19, 6) + 0.0 AS d19 FROM m WHERE p = 1""")
+def performance_at_end(spark, d):
+    return S.performance_at_end(V.bars(spark, d)).select("symbol", *[(F.round(c, 6) + 0.0).alias(c) for c in ("close", "d1", "d4", "d19")])
+
+
+@query("w23_regime", f"""{B}, {RET}, v AS (SELECT *, CASE WHEN {N} >= 20 THEN avg(close) {last(20)} END AS a, CASE WHEN {N} >= 50 THEN avg(close) {last(50)} END AS b,
+  stddev_samp(ret) {last(20)} AS v FROM r), m AS (SELECT *, avg(v) {RUN} AS mv FROM v) SELECT symbol, date, CASE WHEN b IS NULL THEN 'unknown' WHEN v > 1.5 * mv THEN 'volatile'
+  WHEN a > 1.015 * b THEN 'up' WHEN a < 0.985 * b THEN 'down' ELSE 'ranging' END AS regime FROM m""")
+def regime(spark, d):
+    return S.regime(V.bars(spark, d)).select(*KEY, "regime")
+
+
+@query("w32_thin", f"""{B}, m AS (SELECT symbol, date, {N} - 1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM v_bar)
+  SELECT symbol, date FROM m WHERE p % greatest(1, n // 50) = 0""")
+def thin(spark, d):
+    return S.thin(V.bars(spark, d), 50).select(*KEY)
+
+
+@query("w24_reaction", f"""{B}, {RET}, x AS (SELECT symbol, date, close, ret, lead(close, 1) {O}) AS c1, lead(close, 2) {O}) AS c2, lead(close, 5) {O}) AS c5,
+  last_value(close) {O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cl, avg(abs(ret)) {O} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / avg(abs(ret)) {before(10)} AS spike FROM r),
+  ev AS (SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS "on", 'Brand#11' AS symbol FROM orders WHERE o_orderkey % 50 = 0),
+  f AS (SELECT key, e.symbol, min(date) AS date FROM ev e JOIN x ON e.symbol = x.symbol AND x.date >= e."on" GROUP BY 1, 2)
+  SELECT key, date, round(coalesce(c1, cl) / close - 1, 6) + 0.0 AS r1, round(coalesce(c2, cl) / close - 1, 6) + 0.0 AS r2, round(coalesce(c5, cl) / close - 1, 6) + 0.0 AS r5,
+  round(spike, 6) AS spike FROM f JOIN x USING (symbol, date)""")
+def reaction(spark, d):
+    o = V.table(spark, d, "orders").where("o_orderkey % 50 = 0")
+    events = o.select(F.col("o_orderkey").alias("key"), F.lit("Brand#11").alias("symbol"), F.to_date("o_orderdate").alias("on"))
+    df = S.reaction(V.bars(spark, d).where("symbol = 'Brand#11'"), events, "key")
+    return df.select("key", "date", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r1", "r2", "r5", "spike")])
+
+
+@query("q5_factor_regression", f"""{B}, {RET}, f AS (SELECT a.symbol, b.symbol AS factor, regr_slope(a.ret, b.ret) AS beta, regr_r2(a.ret, b.ret) AS r2 FROM r a JOIN r b ON a.date = b.date AND a.symbol <> b.symbol
+  WHERE b.symbol IN ('Brand#1', 'Brand#2', 'Brand#3') AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2)
+  SELECT symbol, factor, round(beta, 6) AS beta, round(r2, 6) AS r2 FROM f""")
+def factors(spark, d):
+    df = Q.factor_regression(V.bars(spark, d), ["Brand#1", "Brand#2", "Brand#3"])
+    return df.select("symbol", "factor", F.round("beta", 6).alias("beta"), F.round("r2", 6).alias("r2"))
+
+
+@query("q8_pca")
+def pca(spark, d):
+    return Q.principal_components(V.bars(spark, d), 3)
+
+
+@query("x4_vote", f"""{B}, {MOVE}, {BB.replace('FROM v_bar', 'FROM rs')}, a AS (SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END * 0.6
+  + CASE WHEN close < bb_low THEN 1 WHEN close > bb_up THEN -1 ELSE 0 END * 0.4 AS net FROM b2)
+  SELECT symbol, date, round(net, 6) + 0.0 AS net, CASE WHEN net > 0.15 THEN 'BUY' WHEN net < -0.15 THEN 'SELL' ELSE 'HOLD' END AS action FROM a""")
+def vote(spark, d):
+    df = X.vote(V.bars(spark, d), {"rsi_reversion": 0.6, "bollinger_reversion": 0.4})
+    return df.select(*KEY, (F.round("net", 6) + 0.0).alias("net"), "action")
+
+
+@query("x8_walk_forward", f"""{B}, {MOVE}, s AS (SELECT *, {N} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, close / lag(close) {O}) - 1 AS ret, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN 0 END AS want FROM rs),
+  h AS (SELECT *, coalesce(last_value(want IGNORE NULLS) {RUN}, 0) AS pos FROM s), g AS (SELECT *, ln(1 + coalesce(lag(pos) {O}), 0) * coalesce(ret, 0)) AS gain,
+  least(3, i * 4 // n) AS win FROM h), w AS (SELECT *, row_number() OVER (PARTITION BY symbol, win ORDER BY date) - 1 AS j, count(*) OVER (PARTITION BY symbol, win) AS m FROM g)
+  SELECT symbol, win AS "window", round(sum(CASE WHEN j < 0.7 * m THEN gain ELSE 0 END), 6) + 0.0 AS inside, round(sum(CASE WHEN j < 0.7 * m THEN 0 ELSE gain END), 6) + 0.0 AS outside FROM w GROUP BY 1, 2""")
+def walk_forward(spark, d):
+    df = X.walk_forward(V.bars(spark, d), "rsi_reversion", 4)
+    return df.select("symbol", "window", (F.round("inside", 6) + 0.0).alias("inside"), (F.round("outside", 6) + 0.0).alias("outside"))
