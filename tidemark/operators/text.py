@@ -62,7 +62,11 @@ def narrative_id(text: Column) -> Column:
 def topic_vector(text: Column, dims: list[list[str]]) -> Column:
     """Density of each dimension's words, scaled to length one, four decimals."""
     w = words(text)
-    raw = F.array(*[F.size(F.filter(w, lambda x, d=d: x.isin(d))).cast("double") for d in dims])
+
+    def count(d: list[str]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(d))).cast("double")
+
+    raw = F.array(*[count(d) for d in dims])
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(raw, lambda x: F.when(norm > 0, F.round(x / norm, 4)).otherwise(0.0))
 

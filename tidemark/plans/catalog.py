@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("events_q", "series_q", "text_q", "graph_q", "ledger_q", "stream_q", "insight_q")
+MODULES = ("events_q", "series_q", "text_q", "graph_q", "ledger_q", "stream_q", "insight_q", "knowledge_q")
 
 
 def query(name: str, sql: str | None = None):

@@ -18,10 +18,10 @@ E = f"WITH {V.EVENT_SQL}"
 
 @query("st4_sliding", f"""{E}, s AS (SELECT region, severity, ts, unnest(range(24)) AS k FROM v_event), w AS (SELECT region, severity,
   date_trunc('hour', ts) + to_hours(k + 1) AS until FROM s) SELECT CAST(until AS TIMESTAMP) AS until, region, count(*) AS n,
-  round(avg(severity), 6) AS avg_severity FROM w GROUP BY 1, 2""")
+  round(avg(severity), 11) AS avg_severity FROM w GROUP BY 1, 2""")
 def sliding(spark, d):
     df = J.sliding(V.events(spark, d), ["region"])
-    return df.select(F.col("until").cast("timestamp_ntz").alias("until"), "region", "n", F.round("avg_severity", 6).alias("avg_severity"))
+    return df.select(F.col("until").cast("timestamp_ntz").alias("until"), "region", "n", F.round("avg_severity", 11).alias("avg_severity"))
 
 
 @query("st7_sessions", f"""WITH {V.ACTIVITY_SQL}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s

@@ -16,9 +16,14 @@ def with_time(df: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
+def _once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key within the watermark; on a batch table, of all its rows."""
+    return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+
+
 def new_only(df: DataFrame, key: str = "id", ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Each key once within the watermark."""
-    return with_time(df, ts, late).dropDuplicatesWithinWatermark([key])
+    return _once(with_time(df, ts, late), [key])
 
 
 def hourly(df: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -47,7 +52,7 @@ def alerts(df: DataFrame, rules: DataFrame, ts: str = "ts", cooldown: str = "2 h
         F.col("rule_category").isNull() | (F.col("rule_category") == F.col("category"))
     )
     sent = e.join(F.broadcast(rules), meets).select(ts, "id", "severity", "rule_user", "rule_id")
-    return sent.dropDuplicatesWithinWatermark(["rule_user", "id"])
+    return _once(sent, ["rule_user", "id"])
 
 
 def opened_within(sends: DataFrame, opens: DataFrame, minutes: int = 30, late: str = "2 hours") -> DataFrame:
