@@ -23,7 +23,7 @@ def _gazetteer(spark, d):
     return N.gazetteer(V.table(spark, d, "documents"), "doc_id", F.col("text"), names)
 
 
-@query("j21_gazetteer", f"WITH {GAZ} SELECT doc_id, term, kind, n, CAST(pos AS INTEGER) AS "at" FROM f")
+@query("j21_gazetteer", f"""WITH {GAZ} SELECT doc_id, term, kind, n, CAST(pos AS INTEGER) AS "at" FROM f""")
 def gazetteer(spark, d):
     return _gazetteer(spark, d)
 
