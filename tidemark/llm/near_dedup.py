@@ -45,7 +45,7 @@ BANDS, ROWS = 10, 3
 DF_BITS = 18
 SLICE_BYTES = 4_000_000
 #: Pairs that a bucket may add in one round, and the least number of new centres whatever its size.
-ROUND_PAIRS, CENTRES = 20_000, 8
+ROUND_PAIRS, CENTRES = 60_000, 16
 
 
 def features(column: pa.Array):
@@ -239,8 +239,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     tested = cut_lineage(members.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct())
     links = cut_lineage(verified(tested, vecs, idf, threshold))
     turns = members.where("id = hub").select("key", "id")
+    labels = components(links, "x", "y")
     while True:
-        labels = components(links, "x", "y")
         named = members.join(labels, "id", "left").select("key", "id", "hub", "n", F.coalesce("label", "id").alias("label"))
         hub_label = named.where("id = hub").select("key", F.col("label").alias("hub_label"))
         outside = named.join(hub_label, "key").where("label <> hub_label").join(turns, ["key", "id"], "left_anti")
@@ -261,7 +261,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = cut_lineage(tested.union(pairs))
-        links = cut_lineage(links.union(verified(pairs, vecs, idf, threshold)))
+        fresh = cut_lineage(verified(pairs, vecs, idf, threshold))
+        if not fresh.isEmpty():  # most late rounds find no link, and leave the classes as they are
+            links = cut_lineage(links.union(fresh))
+            labels = components(links, "x", "y")
     joined = rows.join(reps, ["d1", "d2"], "left").join(labels.withColumnRenamed("label", "top"), "id", "left")
     own = F.col("bands").isNull() | (F.size("bands") == 0)
     return joined.select(
