@@ -42,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 400
 GRAM = 256
 SLICE_BYTES = 2_000_000
+#: Most bits of the set of repeated anchors (16 MB); a smaller set takes about eight bits a member.
 ANCHOR_BITS = 27
 
 
@@ -152,7 +153,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM):
     once = _sieve(slim, twins, False)
     several = _sieve(slim, twins, True).dropDuplicates(["__tkey"])
     counted = anchors(once, length, gram).unionByName(anchors(several, length, gram)).groupBy("a").agg(F.sum("n").alias("n"))
-    repeated = Members(counted.where("n > 1"), "a", bits=ANCHOR_BITS, hashed=True)
+    several_times = cut_lineage(counted.where("n > 1").select("a"))
+    bits = min(ANCHOR_BITS, max(20, (8 * several_times.count()).bit_length()))
+    repeated = Members(several_times, "a", bits=bits, hashed=True)
     found = candidates(once, repeated, length, gram).unionByName(candidates(several, repeated, length, gram))
     n = F.count("*").over(W.partitionBy("h"))
     shared = found.where("h IS NOT NULL").withColumn("n", n).where("n > 1").select("__tkey", "s", "e")
