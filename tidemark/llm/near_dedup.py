@@ -43,7 +43,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 DF_BITS = 18
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Draws of BANDS * ROWS that a pair must share before its shingles are compared. A pair at the threshold shares 24 of 30
+#: on average and fewer than 14 with a probability of about 2e-5, the order of what the bands miss.
+LEAST_SHARED = 14
 #: Pairs that a bucket may add in one round, and the least number of new centres whatever its size.
 ROUND_PAIRS, CENTRES = 60_000, 16
 
@@ -143,7 +146,7 @@ class Sampler:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, d1, d2 (digests of the words) and bands (keys; null for a text without words)."""
+    """doc_id, d1, d2 (digests of the words), bands (keys) and draws (32 bits of each); both empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -152,22 +155,29 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 s, bounds, d1, d2 = features(part.column(1))
                 full = np.diff(bounds) > 0
                 keys = np.zeros((int(full.sum()), BANDS), dtype=np.uint64)
+                draws = np.zeros((len(keys), BANDS * ROWS), dtype=np.uint32)
                 if len(keys):
                     s, count, own = distinct_features(s, bounds)
                     log_w = np.log(count * idf[slot_of(s)]).astype(np.float32)
                     own = np.r_[own[:-1][full], len(s)]
                     for j in range(BANDS * ROWS):
                         code = sampler.sample(s, log_w, own, j)
+                        draws[:, j] = (code >> np.uint64(32)).astype(np.uint32)
                         keys[:, j // ROWS] = T.mix(keys[:, j // ROWS] * T.BASE + code + np.uint64(j))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))
                 )
+                each = pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(full * BANDS * ROWS)].astype(np.int32)), pa.array(draws.reshape(-1).view(np.int32))
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists],
-                    names=["doc_id", "d1", "d2", "bands"],
+                    [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, each],
+                    names=["doc_id", "d1", "d2", "bands", "draws"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, d1 long, d2 long, bands array<long>, draws array<int>"
+    )
 
 
 def vectors(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,6 +216,14 @@ def weighted_jaccard(x: bytes, y: bytes, idf: np.ndarray) -> float:
     return float(common / (w.sum() + v.sum() - common))
 
 
+def promising(pairs: DataFrame, draws: DataFrame) -> DataFrame:
+    """The pairs (x, y) that share enough draws (id, draws) to be worth comparing."""
+    a = draws.select(F.col("id").alias("x"), F.col("draws").alias("p"))
+    b = draws.select(F.col("id").alias("y"), F.col("draws").alias("q"))
+    shared = F.size(F.filter(F.zip_with("p", "q", lambda m, n: m == n), lambda same: same))
+    return pairs.join(a, "x").join(b, "y").where(shared >= LEAST_SHARED).select("x", "y")
+
+
 def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs (x, y) whose weighted Jaccard similarity reaches the threshold, with similarity."""
 
@@ -235,9 +253,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.min_by("id", draw).alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(keys.join(buckets, "key"))
     vecs = cut_lineage(vectors(docs, members.select("id", "d1", "d2").distinct()))
+    ids = members.select("id", "d1", "d2").distinct()
+    own = usable.select(F.col("doc_id").alias("id"), "d1", "d2", "draws").join(ids, ["id", "d1", "d2"], "left_semi")
+    draws = cut_lineage(own.select("id", "draws").dropDuplicates(["id"]))
     members = members.select("key", "id", "hub", "n")
     tested = cut_lineage(members.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct())
-    links = cut_lineage(verified(tested, vecs, idf, threshold))
+    near = cut_lineage(promising(tested, draws))
+    links = cut_lineage(verified(near, vecs, idf, threshold))
     turns = members.where("id = hub").select("key", "id")
     labels = components(links, "x", "y")
     while True:
@@ -261,7 +283,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = cut_lineage(tested.union(pairs))
-        fresh = cut_lineage(verified(pairs, vecs, idf, threshold))
+        near = cut_lineage(promising(pairs, draws))
+        if near.isEmpty():
+            continue
+        fresh = cut_lineage(verified(near, vecs, idf, threshold))
         if not fresh.isEmpty():  # most late rounds find no link, and leave the classes as they are
             links = cut_lineage(links.union(fresh))
             labels = components(links, "x", "y")
