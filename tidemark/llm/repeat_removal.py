@@ -87,39 +87,37 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def candidates(texts: DataFrame, repeated: Members, length: int, gram: int) -> DataFrame:
-    """h, tkey, s, e: one row for each distinct prefix that may be repeated; with h null, a span that repeats inside its text."""
+    """h, tkey, s: one row for each distinct prefix that may be repeated, and where it starts.
+
+    A span that repeats inside its text is a row too: s is -1 less its start, and h its end. Rows are this narrow
+    because they are most of what the operator shuffles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, 1, SLICE_BYTES):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], []]
                 for d, grams, _, sums, a in windows_of(part.column(1), length, gram):
                     place = np.flatnonzero(repeated.inside_hashes(grams))
                     if not len(place):
                         continue
                     h = T.ranges(sums, place + a, place + a + length)
                     _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    first.sort()
                     own = place[n[back] > 1]
                     cut = np.flatnonzero(np.r_[True, own[1:] > own[:-1] + length]) if len(own) else own
                     start = own[cut]
                     end = own[np.r_[cut[1:] - 1, len(own) - 1]] + length if len(own) else own
-                    m = len(first)
-                    out[0].append(np.r_[h[first].view(np.int64), np.zeros(len(start), np.int64)])
-                    out[1].append(np.r_[np.zeros(m, bool), np.ones(len(start), bool)])
-                    out[2].append(np.full(m + len(start), d))
-                    out[3].append(np.r_[place[first], start])
-                    out[4].append(np.r_[place[first] + length, end])
+                    out[0].append(np.r_[h[first].view(np.int64), end])
+                    out[1].append(np.full(len(first) + len(start), d))
+                    out[2].append(np.r_[place[first], -1 - start])
                 if out[0]:
-                    h, null, doc, s, e = (np.concatenate(x) for x in out)
+                    h, doc, s = (np.concatenate(x) for x in out)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h, mask=null), part.column(0).take(pa.array(doc)),
-                            pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)),
-                        ],
-                        names=["h", "__tkey", "s", "e"],
-                    )
+                        [pa.array(h), part.column(0).take(pa.array(doc)), pa.array(s.astype(np.int32))], names=["h", "__tkey", "s"]
+                    )
 
-    return texts.select("__tkey", "text").mapInArrow(run, "h long, __tkey long, s int, e int")
+    return texts.select("__tkey", "text").mapInArrow(run, "h long, __tkey long, s int")
 
 
 def _sieve(rows: DataFrame, members: Members, inside: bool) -> DataFrame:
@@ -133,18 +131,19 @@ def _sieve(rows: DataFrame, members: Members, inside: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def joined_spans(spans: list) -> list[tuple[int, int]]:
+def joined_spans(starts: list | None, inner: list | None, length: int) -> list[tuple[int, int]]:
+    """The union of the strings at starts and of the inner spans."""
     out: list[tuple[int, int]] = []
-    for x in spans:
-        if out and x["s"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], x["e"]))
+    for a, b in sorted([(s, s + length) for s in starts or []] + [(x["s"], x["e"]) for x in inner or []]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            out.append((x["s"], x["e"]))
+            out.append((a, b))
     return out
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM):
-    """(rows, copies, spans): rows of docs with tkey; the tkeys of texts that are copies; tkey and sorted spans of other texts."""
+    """(rows, copies, spans): rows of docs with tkey; the tkeys of texts that are copies; tkey, starts of strings that other texts have, and spans that repeat inside."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("text", text).withColumn("__tkey", F.xxhash64(text, F.octet_length(text)))
     copies = cut_lineage(rows.groupBy("__tkey").count().where("count > 1").select("__tkey"))
@@ -158,24 +157,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM):
     repeated = Members(several_times, "a", bits=bits, hashed=True)
     found = candidates(once, repeated, length, gram).unionByName(candidates(several, repeated, length, gram))
     n = F.count("*").over(W.partitionBy("h"))
-    shared = found.where("h IS NOT NULL").withColumn("n", n).where("n > 1").select("__tkey", "s", "e")
-    inner = found.where("h IS NULL").select("__tkey", "s", "e")
-    spans = shared.unionByName(inner).groupBy("__tkey").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"))
+    inner = F.struct((-1 - F.col("s")).alias("s"), F.col("h").cast("int").alias("e"))
+    # one pass over the candidates; lists leave out nulls
+    spans = (
+        found.withColumn("n", n).where("s < 0 OR n > 1")
+        .groupBy("__tkey")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("s") >= 0, F.col("s")))).alias("__starts"),
+            F.array_sort(F.collect_list(F.when(F.col("s") < 0, inner))).alias("__inner"),
+        )
+    )
     return rows, copies, cut_lineage(spans)
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Rows without a repeated string, and rows that may have one, with copy (boolean) and spans."""
+    """Rows without a repeated string, and rows that may have one, with copy (boolean), starts and inner spans."""
     rows, copies, spans = repeats(docs, length, gram)
     touched = Members(copies.union(spans.select("__tkey")).distinct(), "__tkey", hashed=True)
     marked = copies.withColumn("__copy", F.lit(True)).join(spans, "__tkey", "full_outer")
     return _sieve(rows, touched, False), _sieve(rows, touched, True).join(marked, "__tkey", "left")
 
 
-def removed(size: int, copy: bool, spans: list | None, length: int) -> list[tuple[int, int]]:
+def removed(size: int, copy: bool, starts: list | None, inner: list | None, length: int) -> list[tuple[int, int]]:
     if copy:
         return [(0, size)] if size >= length else []
-    return joined_spans(spans or [])
+    return joined_spans(starts, inner, length)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -184,10 +190,10 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            copy, spans = (batch.column(2), batch.column(3)) if batch.num_columns > 2 else (None, None)
+            copy, *more = batch.columns[2:] if batch.num_columns > 2 else [None]
             for i, t in enumerate(batch.column(1)):
                 raw = t.as_py().encode("utf-8")
-                cut = [] if copy is None else removed(len(raw), bool(copy[i].as_py()), spans[i].as_py(), length)
+                cut = [] if copy is None else removed(len(raw), bool(copy[i].as_py()), *(x[i].as_py() for x in more), length)
                 at, left = 0, hashlib.sha256()
                 for a, b in cut:
                     left.update(raw[at:a])
@@ -203,7 +209,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     clean, maybe = with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length, gram)
     return clean.select("doc_id", "text").mapInArrow(run, schema).unionByName(
-        maybe.select("doc_id", "text", "__copy", "__spans").mapInArrow(run, schema)
+        maybe.select("doc_id", "text", "__copy", "__starts", "__inner").mapInArrow(run, schema)
     )
 
 
@@ -211,17 +217,17 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """docs with the repeated bytes cut from text; a code point that loses a byte goes whole."""
 
     @F.udf("string")
-    def cut(text: str, copy: bool | None, spans: list | None) -> str:
+    def cut(text: str, copy: bool | None, starts: list | None, inner: list | None) -> str:
         raw = text.encode("utf-8")
         keep, at = [], 0
-        for a, b in removed(len(raw), bool(copy), spans, length):
+        for a, b in removed(len(raw), bool(copy), starts, inner, length):
             keep.append(raw[at:a])
             at = b
         return b"".join([*keep, raw[at:]]).decode("utf-8", errors="ignore")
 
     clean, maybe = with_spans(docs, length, gram)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    done = maybe.withColumn("text", cut("text", "__copy", "__spans")).select(*names)
+    done = maybe.withColumn("text", cut("text", "__copy", "__starts", "__inner")).select(*names)
     return clean.select(*names).unionByName(done)
 
 
