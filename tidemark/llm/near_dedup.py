@@ -301,7 +301,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the members of each class but the smallest doc_id; of rows that share that doc_id and text one stays."""
     lost = classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("__lost")).distinct()
     left = docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost"), "left_anti")
-    repeated = left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    # ids only: the texts move once more only where some ids do repeat
+    counts = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__twice")).count()
+    repeated = cut_lineage(counts.where("count > 1").select("__twice"))
+    if repeated.isEmpty():
+        return left
     once = left.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti")
     twice = left.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(twice)
