@@ -41,12 +41,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 3
+#: A pair at the threshold shares no band with a probability of (1 - .8**5)**18, about 8e-4; at .4 it shares one with .17.
+BANDS, ROWS = 18, 5
 DF_BITS = 18
-SLICE_BYTES = 2_000_000
-#: Draws of BANDS * ROWS that a pair must share before its shingles are compared. A pair at the threshold shares 24 of 30
-#: on average and fewer than 14 with a probability of about 2e-5, the order of what the bands miss.
-LEAST_SHARED = 14
+SLICE_BYTES = 1_000_000
+#: Of the first DRAWS draws a pair must share LEAST_SHARED before its shingles are compared. A pair at the threshold shares
+#: 24 of 30 on average, and fewer than 14 with a probability of about 2e-5, which is less than what the bands miss.
+DRAWS, LEAST_SHARED = 30, 14
 #: Pairs that a bucket may add in one round, and the least number of new centres whatever its size.
 ROUND_PAIRS, CENTRES = 60_000, 16
 
@@ -146,7 +147,7 @@ class Sampler:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, d1, d2 (digests of the words), bands (keys) and draws (32 bits of each); both empty for a text without words."""
+    """doc_id, d1, d2 (digests of the words), bands (keys) and draws (32 bits of each of the first); both empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
@@ -155,20 +156,21 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 s, bounds, d1, d2 = features(part.column(1))
                 full = np.diff(bounds) > 0
                 keys = np.zeros((int(full.sum()), BANDS), dtype=np.uint64)
-                draws = np.zeros((len(keys), BANDS * ROWS), dtype=np.uint32)
+                draws = np.zeros((len(keys), DRAWS), dtype=np.uint32)
                 if len(keys):
                     s, count, own = distinct_features(s, bounds)
                     log_w = np.log(count * idf[slot_of(s)]).astype(np.float32)
                     own = np.r_[own[:-1][full], len(s)]
                     for j in range(BANDS * ROWS):
                         code = sampler.sample(s, log_w, own, j)
-                        draws[:, j] = (code >> np.uint64(32)).astype(np.uint32)
+                        if j < DRAWS:
+                            draws[:, j] = (code >> np.uint64(32)).astype(np.uint32)
                         keys[:, j // ROWS] = T.mix(keys[:, j // ROWS] * T.BASE + code + np.uint64(j))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))
                 )
                 each = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(full * BANDS * ROWS)].astype(np.int32)), pa.array(draws.reshape(-1).view(np.int32))
+                    pa.array(np.r_[0, np.cumsum(full * DRAWS)].astype(np.int32)), pa.array(draws.reshape(-1).view(np.int32))
                 )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, each],
