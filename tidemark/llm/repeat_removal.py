@@ -89,8 +89,8 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def candidates(texts: DataFrame, repeated: Members, length: int, gram: int) -> DataFrame:
     """h, tkey, s: one row for each distinct prefix that may be repeated, and where it starts.
 
-    A span that repeats inside its text is a row too: s is -1 less its start, and h its end. Rows are this narrow
-    because they are most of what the operator shuffles.
+    A span that repeats inside its text is a row too: s is -1 less its start, and h its end. Rows are this narrow,
+    and what changes from row to row stands together for the codec, because they are most of what the operator shuffles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,10 @@ def candidates(texts: DataFrame, repeated: Members, length: int, gram: int) -> D
                 if out[0]:
                     h, doc, s = (np.concatenate(x) for x in out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), part.column(0).take(pa.array(doc)), pa.array(s.astype(np.int32))], names=["h", "__tkey", "s"]
+                        [part.column(0).take(pa.array(doc)), pa.array(h), pa.array(s.astype(np.int32))], names=["__tkey", "h", "s"]
                     )
 
-    return texts.select("__tkey", "text").mapInArrow(run, "h long, __tkey long, s int")
+    return texts.select("__tkey", "text").mapInArrow(run, "__tkey long, h long, s int")
 
 
 def _sieve(rows: DataFrame, members: Members, inside: bool) -> DataFrame:
