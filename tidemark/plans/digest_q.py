@@ -74,7 +74,7 @@ def profiles(spark, d):
 
 @query("t21_profile_scores")
 def profile_scores(spark, d):
-    docs = V.documents(spark, d)
+    docs = V.whole_documents(spark, d)
     return D.profile_scores(docs, "source", "doc_id", F.col("body"), D.profiles(docs, "source", "doc_id", F.col("body"), 20))
 
 

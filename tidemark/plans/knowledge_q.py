@@ -45,7 +45,7 @@ def extract(spark, d):
 @query("g28_text_graph")
 def text_graph(spark, d):
     cues = {"causes": "\\bthe\\b", "joins": "\\band\\b|\\bet\\b|\\bund\\b"}
-    return N.text_graph(V.documents(spark, d), "doc_id", F.col("body"), NAME, cues)
+    return N.text_graph(V.whole_documents(spark, d), "doc_id", F.col("body"), NAME, cues)
 
 
 @query("g14_criticality", f"""{BOTH}, x AS (SELECT src AS node, 1 AS o, 0 AS i, weight AS w FROM v_edge UNION ALL SELECT tgt, 0, 1, weight FROM v_edge),

@@ -130,6 +130,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents() with the whole text as body."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.substring(F.split("text", "\n")[0], 1, 200).alias("title"),
+        F.col("text").alias("body"),
+        "lang",
+        "source",
+    )
+
+
 DOC_SQL = """v_doc AS (
   SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 200) AS title, substr(text, 1, 500) AS body, lang, source
   FROM documents
