@@ -57,3 +57,39 @@ def test_table(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in s.query(spark, sf_dir).collect()), key=str)
     assert got == brute(docs, "sentence") and got
+
+
+def brute_levels(docs, monkeypatch):
+    every = []
+    for i, t in docs:
+        with monkeypatch.context() as m:
+            m.setattr(s, "MIN_WORDS", 1)
+            lines = list(units(t, "line"))
+        every += [(i, a, b, key, None) for a, b, key in lines]
+        for a, b, key in units(t, "sentence"):
+            line = next(x[:2] for x in reversed(lines) if x[0] <= a)
+            if line != (a, b):
+                every.append((i, a, b, key, line))
+    first = {}
+    for i, a, _, key, _ in sorted(every, key=lambda x: x[:2]):
+        first.setdefault(key, (i, a))
+    gone = {x[:3] for x in every if first[x[3]] != x[:2]}
+    return sorted((i, a, b, len(key), first[key][0]) for i, a, b, key, line in every if (i, a, b) in gone and (i, *(line or (0, -1))) not in gone)
+
+
+def test_short_lines_go_and_short_sentences_stay(spark, monkeypatch):
+    docs = [
+        (1, "Sign up. Read more. Share it.\nMr. Smith came home to us today. He left."), (2, "Sign up. Read more. Share it.\nMr. Jones left."),
+        (3, "Home\nWe say: he came home to us today. Mr. Smith came home to us today.\nHome\nx"), (4, "\nHome\n\nSmith came home to us today!"),
+    ]
+    got = sorted(tuple(r) for r in s.level_removals(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == brute_levels(docs, monkeypatch)
+    assert (2, 0, 29, 6, 1) in got and (4, 1, 5, 1, 3) in got and all(r[:2] != (3, 39) for r in got)
+
+
+def test_registered_query(spark, sf_dir, monkeypatch):
+    from tidemark.llm import registry
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in registry.QUERIES["op9_line_dedup"](spark, sf_dir).collect())
+    assert got == brute_levels(docs, monkeypatch) and any(r[3] < s.MIN_WORDS for r in got)

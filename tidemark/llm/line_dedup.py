@@ -4,8 +4,9 @@ Each text is cut into units; a unit is normalised (words of letters, digits and
 everything beyond ASCII, A-Z lower-case, marks and white space dropped) and
 digested in 128 bits. Digests are grouped over all documents; the earliest
 occurrence, by doc_id and then by place, stays, and every other one is removed,
-with its offsets in the original text retained. Units of fewer than MIN_WORDS
-words are too common by chance and are left alone.
+with its offsets in the original text retained. The registered query takes whole
+lines of any length, and in the lines that stay sentences of at least MIN_WORDS
+words: shorter ones inside a line are too common by chance.
 
 A digest in a third of all documents is pre-aggregated by each task before the
 shuffle, and removal is a join (which Spark can split where it is skewed), not
@@ -129,6 +130,57 @@ def removals(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS
     )
 
 
+def levels_of(column: pa.Array):
+    """units_of() for whole lines of any length and for sentences of MIN_WORDS words that are no whole line; and per unit its line's row."""
+    line, part = units_of(column, "line", 1), units_of(column, "sentence", MIN_WORDS)
+    # lines stand in order and hold every word, so a sentence's line is the last that starts at or before it
+    inside = np.searchsorted((line[0] << 32) | line[1], (part[0] << 32) | part[1], side="right") - 1
+    own = (part[1] != line[1][inside]) | (part[2] != line[2][inside])
+    doc, start, end, count, a, b, _ = (np.r_[x, y[own]] for x, y in zip(line, part, strict=True))
+    of_line = np.r_[np.arange(len(line[0])), inside[own]]
+    order = np.lexsort((start, b, a, doc))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (doc[order][1:] == doc[order][:-1]) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    lead = np.empty(len(order), dtype=bool)
+    lead[order] = ~same
+    return doc, start, end, count, a, b, lead, of_line
+
+
+def level_removals(docs: DataFrame) -> DataFrame:
+    """As removals(), for repeated whole lines of any length, and for repeated sentences of MIN_WORDS words in the lines that stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, 1, SLICE_BYTES):
+                doc, start, end, n, a, b, lead, of_line = levels_of(part.column(1))
+                a, b = a.view(np.int64), b.view(np.int64)
+                whole = of_line == np.arange(len(of_line))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+                        pa.array(n.astype(np.int32)), pa.array(a), pa.array(b), pa.array(lead), pa.array(a[of_line], mask=whole),
+                        pa.array(b[of_line], mask=whole), pa.array(lead[of_line]),
+                    ],
+                    names=["doc_id", "start", "end", "n_words", "a", "b", "lead", "line_a", "line_b", "line_lead"],
+                )
+
+    every = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run,
+        "doc_id long, start int, end int, n_words int, a long, b long, lead boolean, line_a long, line_b long, line_lead boolean",
+    )
+    rank = F.coalesce("doc_id", F.lit(LAST))
+    groups = every.groupBy("a", "b").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = every.join(groups, ["a", "b"]).where(~((rank == F.col("kept")) & F.col("lead")))
+    # a sentence goes with its line where that is removed
+    lines = groups.select(F.col("a").alias("line_a"), F.col("b").alias("line_b"), F.col("kept").alias("line_kept"))
+    stays = F.col("line_kept").isNull() | ((rank == F.col("line_kept")) & F.col("line_lead"))
+    return (
+        again.join(lines, ["line_a", "line_b"], "left")
+        .where(stays)
+        .select("doc_id", "start", "end", "n_words", F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id"))
+    )
+
+
 def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the removed units cut from text, and removed_spans: their (start, end) in the original text, in order."""
     spans = (
@@ -152,3 +204,7 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(read_table(spark, sf_dir, "documents"))
+
+
+def level_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_removals(read_table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.query,
     "op8_repeat_removal": repeat_removal.query,
     "op7_near_dedup": near_dedup.query,
-    "op9_line_dedup": line_dedup.query,
+    "op9_line_dedup": line_dedup.level_query,
     "op10_bpe": bpe.query,
 }
 ORACLES = {
