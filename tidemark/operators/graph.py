@@ -70,22 +70,26 @@ def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return both.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("auth", F.lit(0.0)).alias("auth"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component: the smallest node of each connected component."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node of each connected component.
+
+    Every round a node takes the smallest label of its neighbours and itself,
+    then its label's label, until no label moves.
+    """
     links = undirected(edges.withColumn("weight", F.lit(1.0))).select("src", "tgt").distinct()
     links = settle(links)
     state = nodes(links).withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = links.join(state, F.col("tgt") == F.col("node")).groupBy("src").agg(F.min("component").alias("low"))
-        new = state.join(near, F.col("node") == F.col("src"), "left").select(
-            "node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved")
+        low = state.join(near, F.col("node") == F.col("src"), "left").select(
+            "node", F.least("component", "low").alias("label"), (F.col("low") < F.col("component")).alias("moved")
         )
-        new = settle(new)
-        moved = new.where("moved").isEmpty()
-        state = new.drop("moved")
-        if moved:
-            break
-    return state
+        low = settle(low)
+        if low.where("moved").isEmpty():
+            return state
+        up = low.select(F.col("node").alias("parent"), F.col("label").alias("top"))
+        jumped = low.join(up, F.col("label") == F.col("parent"))
+        state = settle(jumped.select("node", F.least("label", "top").alias("component")))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
