@@ -30,6 +30,10 @@ MOST_EPOCHS = 2
 SEED = "mix-1"
 #: Hex digits of the key that name a range: 16**3 ranges a source.
 RANGE_DIGITS = 3
+#: The same where texts are put in order inside a range: a source's 65536th part.
+MIXED_DIGITS = 4
+#: Most sources whose table (a row a source) goes to every task; beyond it the join is left to Spark.
+MOST_SOURCES = 20_000
 
 
 def keyed(docs: DataFrame, seed: str = SEED, digits: int = RANGE_DIGITS, carry: Column | None = None) -> DataFrame:
@@ -111,26 +115,58 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     )
 
 
+def cuts(rows: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """A row a source: skey, epochs (whole passes), rest (words of the last, partial pass), and the range in which that pass ends with its start.
+
+    Ranges before it go whole into the partial pass and ranges after it not at all. The last range of a source whose rest is 0 is none.
+    """
+    budget = F.floor("target")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    begun = F.col("range_start") <= F.col("rest")
+    return (
+        _ranges(rows, weights, share, most)
+        .withColumn("epochs", epochs)
+        .withColumn("rest", F.when(F.col("source_size") > 0, budget - epochs * F.col("source_size")).otherwise(F.lit(0)))
+        .groupBy("skey")
+        .agg(
+            F.first("epochs").alias("epochs"),
+            F.first("rest").alias("rest"),
+            F.max(F.when(begun & (F.col("rest") > 0), F.struct("range", "range_start"))).alias("last"),
+        )
+        .select("skey", "epochs", "rest", F.coalesce("last.range", F.lit(-1)).alias("last"), F.col("last.range_start").alias("last_start"))
+    )
+
+
 def mixed(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
     """The mix itself, with docs' columns: a row for each whole pass, and one with the first words for a partial pass.
 
-    n_chars, where docs has it, counts the characters of the row's own text.
+    n_chars, where docs has it, counts the characters of the row's own text. Texts are not shuffled: the table of sources
+    goes to the rows, and only the rows of the one range in which a source's partial pass ends are put in order.
     """
     names = docs.columns
+    sources = cut_lineage(cuts(keyed(docs, seed, MIXED_DIGITS), weights, share, most))
+    if sources.count() <= MOST_SOURCES:
+        sources = F.broadcast(sources)
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
-    rows = keyed(docs, seed, carry=whole)
-    df = _cut(rows, _ranges(keyed(docs, seed), weights, share, most))
+    rows = keyed(docs, seed, MIXED_DIGITS, carry=whole).join(sources, "skey")
     text = F.col("doc.text")
+    passes = F.col("epochs") + F.when((F.col("range") < F.col("last")) & (F.col("size") > 0), 1).otherwise(0)
+    plain = rows.where(F.col("range") != F.col("last")).select("doc", F.explode(F.array_repeat(text, passes.cast("int"))).alias("pass"))
+    order = W.partitionBy("skey").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    start = F.col("last_start") + F.sum("size").over(order) - F.col("size")
     pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     short = F.array_join(F.slice(pieces, 1, F.col("part").cast("int")), "")
-    passes = F.concat(
-        F.array_repeat(text, F.col("epochs").cast("int")),
-        F.when(F.col("part") == 0, F.array().cast("array<string>"))
-        .when(F.col("part") == F.col("size"), F.array(text))
-        .otherwise(F.array(short)),
-    )
-    df = df.select("doc", F.explode(passes).alias("pass"))
-    return df.select(
+    ends = (
+        rows.where(F.col("range") == F.col("last"))
+        .withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - start)))
+        .select("doc", F.explode(F.concat(
+            F.array_repeat(text, F.col("epochs").cast("int")),
+            F.when(F.col("part") == 0, F.array().cast("array<string>"))
+            .when(F.col("part") == F.col("size"), F.array(text))
+            .otherwise(F.array(short)),
+        )).alias("pass"))
+    )
+    return plain.unionByName(ends).select(
         *[
             F.col("pass").alias(c) if c == "text"
             else F.length("pass").cast("long").alias(c) if c == "n_chars"
