@@ -8,10 +8,20 @@ import pyarrow as pa
 from tidemark.llm import near_dedup as s
 
 
-def brute(docs, idf):
+def weights(f, own):
+    """Inverse document frequencies by counting every shingle."""
+    seen = Counter(f.tolist())
+    size = len(own) - 1
+    held = sorted(seen)
+    values = [1 + np.log(1 / max(seen[x] / size, s.COMMON)) for x in held]
+    return s.Idf(np.array(held, np.uint64), np.array(values), 0.0)
+
+
+def brute(docs):
     """Classes of all pairs at or above the threshold, through shared shingles."""
     raw, holders = {}, defaultdict(list)
     f, bounds, _, _ = s.features(pa.array([t for _, t in docs], pa.string()))
+    idf = weights(s.distinct_features(f, bounds)[0], bounds)
     f, n, own = s.distinct_features(f, bounds)
     for k in range(len(docs)):
         a, b = own[k], own[k + 1]
@@ -41,7 +51,7 @@ def test_table(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     table = spark.read.parquet(f"{sf}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in table.collect()]
-    want = brute(docs, s.document_frequencies(table))
+    want = brute(docs)
     got = {r.doc_id: r.class_id for r in s.query(spark, sf).collect()}
     assert len(got) == len(docs)
     wrong = [i for i in want if got[i] != want[i]]
@@ -73,3 +83,13 @@ def test_draws_follow_weighted_jaccard():
     logs = np.log(np.r_[w, v]).astype(np.float32)
     hits = sum(len(set(sampler.sample(np.r_[keys, keys], logs, bounds, j).tolist())) == 1 for j in range(n))
     assert abs(hits / n - true) < 0.04
+
+
+def test_inverse_frequencies(spark):
+    texts = ["a b c d e f"] * 3 + ["a b c d e"] * 2 + ["x y"] + [None, ""] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for common in (0.1, 0.35):
+        idf = s.inverse_frequencies(df, common)
+        f, bounds, _, _ = s.features(pa.array(["a b c d e", "b c d e f", "x y", "new words"], pa.string()))
+        want = [1 + np.log(1 / max(n / 10, common)) for n in (5, 3, 1, 0)]
+        assert np.allclose(idf.of(f), want)

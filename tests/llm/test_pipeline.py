@@ -9,7 +9,7 @@ from test_secret_scan import brute as secret
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, mixing, near_dedup, quality
+from tidemark.llm import bpe, mixing, quality
 
 WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -34,7 +34,7 @@ def test_stages(spark, sf_dir):
     assert sorted(df.toPandas()["doc_id"]) == sorted(kept["doc_id"]) and df.columns == table.columns
 
     rows = list(zip(kept["doc_id"].tolist(), kept["text"].tolist()))
-    of = near(rows, near_dedup.document_frequencies(df))
+    of = near(rows)
     kept = kept[[of[i] == i for i in kept["doc_id"]]]
     kept = kept.assign(text=[redacted(t) for t in kept["text"]])
 

@@ -1,19 +1,24 @@
 """Operator 7, near-duplicates by improved consistent weighted sampling.
 
 A text's features are its shingles of five words; a shingle weighs its count
-times a smooth inverse document frequency. Frequencies are counted over all
-documents in a hashed feature space of 2**DF_BITS slots (as in Spark ML's
-HashingTF and IDF), so the table that goes to every task has a fixed size.
+times its inverse document frequency, 1 + ln(1 / f), where f is the share of all
+documents that hold it, counted exactly, and COMMON where it is less. So only
+the shingles that at least that share of documents hold have to be known to a
+task: at most (mean number of shingles in a text) / COMMON of them, whatever the
+number of documents.
+
 Improved consistent weighted sampling draws one (shingle, level) per hash
 function; two texts draw the same with the probability of their weighted
-Jaccard similarity. ROWS draws make a band; texts that share a band meet in a
-bucket, and pairs are verified by the exact weighted Jaccard of their shingles.
+Jaccard similarity. Bands are subsets of the draws; texts that share a band meet
+in a bucket, and pairs are verified by the exact weighted Jaccard of their
+shingles. Two bits of every draw travel with a text, so that a join of a bucket
+with its centres keeps only pairs that may reach the threshold.
 
-Copies with the same words fall together first and stand as one. In a bucket
-every text is held against one centre (a star, not all pairs);
-a text that stays outside that one's class becomes a star's centre in turn and
-is held against all that are not in its class, until each has had its turn. So
-pairs within one class are not made, and no link between classes is skipped.
+Texts with the same words stand as one. In a bucket every text is held against
+the one that shares most bands with others (a star, not all pairs); a text that
+stays outside that one's class becomes a star's centre in turn and is held
+against all that are not in its class, until each has had its turn. So pairs
+within one class are not made, and no link between classes is skipped.
 
 Defined cases: a text of one to four words is one shingle of all its words; a
 text without words (null, empty, marks only) is a class of its own; a null
@@ -26,11 +31,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens as T
@@ -41,15 +47,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares no band with a probability of (1 - .8**5)**18, about 8e-4; at .4 it shares one with .17.
-BANDS, ROWS = 18, 5
-DF_BITS = 18
+#: A pair at the threshold shares about 72 of the draws; with 72, 68 and 64 it shares no band with a probability of 1e-4, 3e-3 and 3e-2.
+DRAWS, BANDS, ROWS = 90, 40, 7
+SUBSETS = np.stack([np.random.default_rng([7, b]).choice(DRAWS, ROWS, replace=False) for b in range(BANDS)])
+#: Of two bits of each draw a pair at the threshold shares 76.5 on average, and fewer than this with a probability of about 1e-5.
+LEAST_SHARED = 62
+#: Shingles in a smaller share of the documents weigh as if this share had them.
+COMMON = 1e-3
+SLOT_BITS = 22
 SLICE_BYTES = 1_000_000
-#: Of the first DRAWS draws a pair must share LEAST_SHARED before its shingles are compared. A pair at the threshold shares
-#: 24 of 30 on average, and fewer than 14 with a probability of about 2e-5, which is less than what the bands miss.
-DRAWS, LEAST_SHARED = 30, 14
-#: Pairs that a bucket may add in one round, and the least number of new centres whatever its size.
-ROUND_PAIRS, CENTRES = 60_000, 16
+#: Texts that a bucket's centres are held against in one round: all of its centres at once where the bucket is small, else in turns.
+ROUND_TESTS = 4_000_000
 
 
 def features(column: pa.Array):
@@ -81,32 +89,82 @@ def distinct_features(s: np.ndarray, bounds: np.ndarray):
     return s[at], count, np.searchsorted(doc[at], np.arange(len(bounds)))
 
 
-def slot_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - DF_BITS)).astype(np.int64)
+class Idf(NamedTuple):
+    """Inverse document frequencies: those of the common shingles (sorted), and the one that all others have."""
+
+    shingles: np.ndarray
+    values: np.ndarray
+    rare: float
 
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(s), self.rare)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.values[at], self.rare)
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Smooth inverse document frequency of each slot: 2**DF_BITS numbers."""
+
+def _counted(docs: DataFrame, schema: str, first, each, last) -> DataFrame:
+    """Maps a task's texts: state = first(); each(state, distinct shingles of a slice, number of its texts); last(state) gives the columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
+        state = first()
         for batch in batches:
             for part in T.slices(batch, 0, SLICE_BYTES):
                 s, bounds, _, _ = features(part.column(0))
-                doc = np.repeat(np.arange(len(part)), np.diff(bounds))
-                both = np.unique((doc << DF_BITS) | slot_of(s))
-                total += np.bincount(both & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
-                n += len(part)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[-1, slot].astype(np.int32)), pa.array(np.r_[n, total[slot]])], names=["slot", "n"]
-        )
+                each(state, distinct_features(s, bounds)[0], len(part))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last(state)], names=names)
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
+    """Exact inverse document frequencies in two passes.
+
+    The first counts hashed slots. A task leaves out slots that less than half the share of its own texts have, which
+    together takes less than half the share from a slot's sum; so each shingle of the share is in a slot that keeps half of
+    it. The second counts the shingles of such slots.
+    """
 
-    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(1 << DF_BITS)
-    slot, n = rows["slot"].to_numpy(), rows["n"].to_numpy()
-    df[slot[slot >= 0]] = n[slot >= 0]
-    return np.log((1.0 + n[slot < 0].sum()) / (1.0 + df)) + 1.0
+    def slots(state, s, n):
+        state["n"] += n
+        np.add.at(state["total"], (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+
+    def frequent(state):
+        at = np.flatnonzero(state["total"] >= max(1, common / 2 * state["n"]))
+        return np.r_[-1, at].astype(np.int32), np.r_[state["n"], state["total"][at]].astype(np.int64)
+
+    made = _counted(docs, "slot int, n long", lambda: {"n": 0, "total": np.zeros(1 << SLOT_BITS, np.int32)}, slots, frequent)
+    sums = cut_lineage(made.groupBy("slot").agg(F.sum("n").alias("n")))
+    size = sums.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+    rows = sums.where((F.col("slot") >= 0) & (F.col("n") >= common / 2 * size)).select("slot").toArrow()
+    open_slots = np.zeros(1 << SLOT_BITS, dtype=bool)
+    open_slots[rows["slot"].to_numpy()] = True
+    packed = np.packbits(open_slots)  # half a megabyte
+
+    def shingles(state, s, n):
+        slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        s = s[(packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
+        s, n = np.unique(s, return_counts=True)
+        state.append((s, n))
+        if len(state) > 16:
+            state[:] = [summed(state)]
+
+    def summed(state):
+        s = np.concatenate([x[0] for x in state]) if state else np.empty(0, np.uint64)
+        n = np.concatenate([x[1] for x in state]) if state else np.empty(0, np.int64)
+        s, back = np.unique(s, return_inverse=True)
+        return s, np.bincount(back, n, minlength=len(s)).astype(np.int64)
+
+    def all_counts(state):
+        s, n = summed(state)
+        return s.view(np.int64), n
+
+    exact = _counted(docs, "s long, n long", list, shingles, all_counts).groupBy("s").agg(F.sum("n").alias("n"))
+    found = exact.where(F.col("n") > common * size).toArrow()  # at most mean shingles of a text / common
+    s, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(s)
+    return Idf(s[order], 1 + np.log(size / n[order]), float(1 + np.log(1 / common)))
 
 
 def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -123,7 +181,7 @@ def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
 class Sampler:
     """Consistent weighted sampling with the random numbers of (shingle, function) taken from a hash."""
 
-    def __init__(self, n: int = BANDS * ROWS):
+    def __init__(self, n: int = DRAWS):
         quantiles = gamma_quantiles()
         self.r, self.log_c = quantiles.astype(np.float32), np.log(quantiles).astype(np.float32)
         self.odd = T.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
@@ -146,63 +204,69 @@ class Sampler:
         return T.mix(s[at] ^ T.mix((level[at].astype(np.int64) + (1 << 20)).astype(np.uint64)))
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, d1, d2 (digests of the words), bands (keys) and draws (32 bits of each of the first); both empty for a text without words."""
+def _lists(values: np.ndarray, full: np.ndarray, kind) -> pa.ListArray:
+    """A list of a row of values for each full one, an empty list for the others."""
+    ends = np.r_[0, np.cumsum(full * values.shape[1])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(kind)))
+
+
+def nodes_of(d1: np.ndarray, d2: np.ndarray) -> pa.Array:
+    """Both digests of a text's words as 16 bytes."""
+    raw = pa.py_buffer(np.c_[d1, d2].astype(">u8").tobytes())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(d1), [None, raw]).cast(pa.binary())
+
+
+def sketches(docs: DataFrame, idf: Idf) -> DataFrame:
+    """doc_id, t (hash of the text), node (digests of its words), bands (keys) and sig (two bits of each draw); both empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            for part in T.slices(batch, 1, SLICE_BYTES):
-                s, bounds, d1, d2 = features(part.column(1))
+            for part in T.slices(batch, 2, SLICE_BYTES):
+                s, bounds, d1, d2 = features(part.column(2))
                 full = np.diff(bounds) > 0
-                keys = np.zeros((int(full.sum()), BANDS), dtype=np.uint64)
-                draws = np.zeros((len(keys), DRAWS), dtype=np.uint32)
-                if len(keys):
+                codes = np.zeros((int(full.sum()), DRAWS), dtype=np.uint64)
+                if len(codes):
                     s, count, own = distinct_features(s, bounds)
-                    log_w = np.log(count * idf[slot_of(s)]).astype(np.float32)
+                    log_w = np.log(count * idf.of(s)).astype(np.float32)
                     own = np.r_[own[:-1][full], len(s)]
-                    for j in range(BANDS * ROWS):
-                        code = sampler.sample(s, log_w, own, j)
-                        if j < DRAWS:
-                            draws[:, j] = (code >> np.uint64(32)).astype(np.uint32)
-                        keys[:, j // ROWS] = T.mix(keys[:, j // ROWS] * T.BASE + code + np.uint64(j))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))
-                )
-                each = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(full * DRAWS)].astype(np.int32)), pa.array(draws.reshape(-1).view(np.int32))
-                )
+                    for j in range(DRAWS):
+                        codes[:, j] = sampler.sample(s, log_w, own, j)
+                keys = np.zeros((len(codes), BANDS), dtype=np.uint64)
+                for b, subset in enumerate(SUBSETS):
+                    for j in subset:
+                        keys[:, b] = T.mix(keys[:, b] * T.BASE + codes[:, j] + np.uint64(b))
+                bits = (codes >> np.uint64(62)).reshape(len(codes), 3, DRAWS // 3) << np.arange(0, 60, 2, dtype=np.uint64)
+                sig = np.bitwise_or.reduce(bits, axis=2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists, each],
-                    names=["doc_id", "d1", "d2", "bands", "draws"],
+                    [part.column(0), part.column(1), nodes_of(d1, d2), _lists(keys, full, np.int64), _lists(sig, full, np.int64)],
+                    names=["doc_id", "t", "node", "bands", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, d1 long, d2 long, bands array<long>, draws array<int>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").mapInArrow(
+        run, "doc_id long, t long, node binary, bands array<long>, sig array<long>"
     )
 
 
-def vectors(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, vec of the documents in ids (id, d1, d2): distinct shingles and counts as bytes."""
-    members = Members(ids, "id")
+def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, vec of the texts in wanted (doc_id, t, node): distinct shingles and counts as bytes."""
+    places = wanted.select(F.xxhash64("doc_id", "t").alias("place"))
+    members = Members(places, "place", hashed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(members.inside(batch.column(2).to_numpy())))
-            for part in T.slices(batch, 1, SLICE_BYTES):
-                s, bounds, d1, d2 = features(part.column(1))
+            batch = batch.filter(pa.array(members.inside_hashes(batch.column(1).to_numpy().view(np.uint64))))
+            for part in T.slices(batch, 0, SLICE_BYTES):
+                s, bounds, d1, d2 = features(part.column(0))
                 s, count, own = distinct_features(s, bounds)
                 raw = [
                     s[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(own, own[1:], strict=False)
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(raw, pa.binary())],
-                    names=["id", "d1", "d2", "vec"],
-                )
+                yield pa.RecordBatch.from_arrays([nodes_of(d1, d2), pa.array(raw, pa.binary())], names=["node", "vec"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    made = rows.select("id", "text", members.slot("id").alias("slot")).mapInArrow(run, "id long, d1 long, d2 long, vec binary")
-    return made.join(ids, ["id", "d1", "d2"], "left_semi").select("id", "vec").dropDuplicates(["id"])
+    rows = docs.where("doc_id IS NOT NULL").select("text", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place"))
+    made = rows.mapInArrow(run, "node binary, vec binary")
+    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -210,23 +274,23 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
 
 
-def weighted_jaccard(x: bytes, y: bytes, idf: np.ndarray) -> float:
+def weighted_jaccard(x: bytes, y: bytes, idf: Idf) -> float:
     (a, n), (b, m) = unpack(x), unpack(y)
-    w, v = n * idf[slot_of(a)], m * idf[slot_of(b)]
+    w, v = n * idf.of(a), m * idf.of(b)
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     common = np.minimum(w[i], v[j]).sum()
     return float(common / (w.sum() + v.sum() - common))
 
 
-def promising(pairs: DataFrame, draws: DataFrame) -> DataFrame:
-    """The pairs (x, y) that share enough draws (id, draws) to be worth comparing."""
-    a = draws.select(F.col("id").alias("x"), F.col("draws").alias("p"))
-    b = draws.select(F.col("id").alias("y"), F.col("draws").alias("q"))
-    shared = F.size(F.filter(F.zip_with("p", "q", lambda m, n: m == n), lambda same: same))
-    return pairs.join(a, "x").join(b, "y").where(shared >= LEAST_SHARED).select("x", "y")
+def promising(a: str, b: str) -> Column:
+    """Whether two arrays of signature words share enough bits to be worth comparing."""
+    odd = F.lit(0x5555555555555555)
+    differ = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(3)]
+    unlike = [F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd)) for d in differ]
+    return unlike[0] + unlike[1] + unlike[2] <= DRAWS - LEAST_SHARED
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """The pairs (x, y) whose weighted Jaccard similarity reaches the threshold, with similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,68 +299,68 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, threshold: floa
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], names=["x", "y", "similarity"])
             yield out.filter(pa.compute.greater_equal(out.column(2), threshold))
 
-    both = pairs.join(vecs.select(F.col("id").alias("x"), F.col("vec").alias("p")), "x").join(
-        vecs.select(F.col("id").alias("y"), F.col("vec").alias("q")), "y"
+    both = pairs.join(vecs.select(F.col("node").alias("x"), F.col("vec").alias("p")), "x").join(
+        vecs.select(F.col("node").alias("y"), F.col("vec").alias("q")), "y"
     )
-    return both.select("x", "y", "p", "q").mapInArrow(run, "x long, y long, similarity double")
+    return both.select("x", "y", "p", "q").mapInArrow(run, "x binary, y binary, similarity double")
+
+
+def bucket_members(texts: DataFrame) -> DataFrame:
+    """key, node, n (texts of the bucket), degree (texts that the node meets in all its buckets) and sig; buckets of two or more."""
+    keys = texts.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut_lineage(keys.join(buckets, "key"))
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    return cut_lineage(members.join(degrees.join(texts.select("node", "sig"), "node"), "node"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of every row: the smallest doc_id of its class of near-duplicates."""
-    idf = document_frequencies(docs)
+    idf = inverse_frequencies(docs)
     rows = cut_lineage(sketches(docs, idf))
-    usable = rows.where("doc_id IS NOT NULL AND bands IS NOT NULL AND size(bands) > 0")
-    reps = cut_lineage(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
-    keys = usable.join(reps.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").select(
-        F.col("doc_id").alias("id"), "d1", "d2", F.explode("bands").alias("key")
-    ).distinct()
-    # the first centre is the smallest by a hash of (bucket, id), so that a text meets other centres in its other bands
-    draw = F.xxhash64("key", "id")
-    buckets = keys.groupBy("key").agg(F.min_by("id", draw).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(keys.join(buckets, "key"))
-    vecs = cut_lineage(vectors(docs, members.select("id", "d1", "d2").distinct()))
-    ids = members.select("id", "d1", "d2").distinct()
-    own = usable.select(F.col("doc_id").alias("id"), "d1", "d2", "draws").join(ids, ["id", "d1", "d2"], "left_semi")
-    draws = cut_lineage(own.select("id", "draws").dropDuplicates(["id"]))
-    members = members.select("key", "id", "hub", "n")
-    tested = cut_lineage(members.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct())
-    near = cut_lineage(promising(tested, draws))
-    links = cut_lineage(verified(near, vecs, idf, threshold))
-    turns = members.where("id = hub").select("key", "id")
+    usable = rows.where("doc_id IS NOT NULL AND size(bands) > 0")
+    texts = cut_lineage(usable.dropDuplicates(["node"]))
+    members = bucket_members(texts)
+    inside = members.select("node").distinct()
+    vecs = cut_lineage(vectors(docs, texts.select("doc_id", "t", "node").join(inside, "node", "left_semi")))
+    central = F.max(F.struct("degree", "node", "sig")).alias("c")
+    hubs = cut_lineage(members.groupBy("key").agg(central).select("key", F.col("c.node").alias("hub"), F.col("c.sig").alias("hub_sig")))
+    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising("sig", "hub_sig"))
+    tested = cut_lineage(stars.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct())
+    links = cut_lineage(verified(tested, vecs, idf, threshold))
     labels = components(links, "x", "y")
+    turns = hubs.select("key", F.col("hub").alias("node"))
     while True:
-        named = members.join(labels, "id", "left").select("key", "id", "hub", "n", F.coalesce("label", "id").alias("label"))
-        hub_label = named.where("id = hub").select("key", F.col("label").alias("hub_label"))
-        outside = named.join(hub_label, "key").where("label <> hub_label").join(turns, ["key", "id"], "left_anti")
-        lane = F.pmod(F.xxhash64("id"), F.greatest(F.lit(CENTRES), F.floor(F.lit(ROUND_PAIRS) / F.col("n"))))
-        centres = cut_lineage(outside.groupBy("key", lane.alias("lane")).agg(F.min(F.struct("id", "label")).alias("c")))
+        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        tops = hubs.join(labels, hubs["hub"] == labels["node"], "left").select("key", F.coalesce("label", "hub").alias("top"))
+        outside = named.join(tops, "key").where("label <> top").join(turns, ["key", "node"], "left_anti")
+        # a small bucket's texts have a lane each
+        at_once = F.floor(F.lit(ROUND_TESTS) / F.col("n"))
+        lane = F.when(F.col("n") <= at_once, F.hex("node")).otherwise(F.pmod(F.xxhash64("node"), at_once).cast("string"))
+        chosen = outside.groupBy("key", lane.alias("lane")).agg(F.max(F.struct("degree", "node", "sig", "label")).alias("c"))
+        centres = cut_lineage(
+            chosen.select("key", F.col("c.node").alias("centre"), F.col("c.sig").alias("centre_sig"), F.col("c.label").alias("centre_label"))
+        )
         if centres.isEmpty():
             break
-        chosen = centres.select("key", F.col("c.id").alias("c"), F.col("c.label").alias("c_label"))
-        pairs = (
-            named.join(chosen, "key")
-            .where("label <> c_label")
-            .select(F.least("id", "c").alias("x"), F.greatest("id", "c").alias("y"))
-            .distinct()
-            .join(tested, ["x", "y"], "left_anti")
-        )
-        pairs = cut_lineage(pairs)
-        turns = cut_lineage(turns.union(chosen.select("key", F.col("c").alias("id"))))
-        if pairs.isEmpty():
-            continue
-        tested = cut_lineage(tested.union(pairs))
-        near = cut_lineage(promising(pairs, draws))
-        if near.isEmpty():
+        turns = cut_lineage(turns.union(centres.select("key", F.col("centre").alias("node"))))
+        pairs = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & promising("sig", "centre_sig"))
+        pairs = pairs.select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y")).distinct()
+        fresh = cut_lineage(pairs.join(tested, ["x", "y"], "left_anti"))
+        if fresh.isEmpty():
             continue
-        fresh = cut_lineage(verified(near, vecs, idf, threshold))
-        if not fresh.isEmpty():  # most late rounds find no link, and leave the classes as they are
-            links = cut_lineage(links.union(fresh))
+        tested = cut_lineage(tested.union(fresh))
+        found = cut_lineage(verified(fresh, vecs, idf, threshold))
+        if not found.isEmpty():  # else the classes stay as they are
+            links = cut_lineage(links.union(found))
             labels = components(links, "x", "y")
-    joined = rows.join(reps, ["d1", "d2"], "left").join(labels.withColumnRenamed("label", "top"), "id", "left")
-    own = F.col("bands").isNull() | (F.size("bands") == 0)
-    return joined.select(
-        "doc_id", F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("top", "id")).alias("class_id")
-    )
+    first = usable.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    labelled = cut_lineage(labels.join(first, "node"))
+    lowest = labelled.groupBy("label").agg(F.min("first_id").alias("lowest"))
+    classed = first.join(labelled.join(lowest, "label").select("node", "lowest"), "node", "left")
+    named = classed.select("node", F.coalesce("lowest", "first_id").alias("named"))
+    own = F.col("doc_id").isNull() | (F.size("bands") == 0)
+    return rows.join(named, "node", "left").select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("named")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
