@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +53,9 @@ DRAWS, BANDS, ROWS = 90, 40, 7
 SUBSETS = np.stack([np.random.default_rng([7, b]).choice(DRAWS, ROWS, replace=False) for b in range(BANDS)])
 #: Of two bits of each draw a pair at the threshold shares 76.5 on average, and fewer than this with a probability of about 1e-5.
 LEAST_SHARED = 62
+#: Texts in buckets of CROWD or more have a finer signature, of FINE further draws. A pair at the threshold shares 435 of their
+#: two bits on average, and fewer than FINE_LEAST with a probability of about 4e-4.
+CROWD, FINE, FINE_LEAST = 32, 512, 407
 #: Shingles in a smaller share of the documents weigh as if this share had them.
 COMMON = 1e-3
 SLOT_BITS = 22
@@ -236,8 +240,7 @@ def sketches(docs: DataFrame, idf: Idf) -> DataFrame:
                 for b, subset in enumerate(SUBSETS):
                     for j in subset:
                         keys[:, b] = T.mix(keys[:, b] * T.BASE + codes[:, j] + np.uint64(b))
-                bits = (codes >> np.uint64(62)).reshape(len(codes), 3, DRAWS // 3) << np.arange(0, 60, 2, dtype=np.uint64)
-                sig = np.bitwise_or.reduce(bits, axis=2)
+                sig = _two_bits(codes, 3)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), nodes_of(d1, d2), _lists(keys, full, np.int64), _lists(sig, full, np.int64)],
                     names=["doc_id", "t", "node", "bands", "sig"],
@@ -248,12 +251,21 @@ def sketches(docs: DataFrame, idf: Idf) -> DataFrame:
     )
 
 
-def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, vec of the texts in wanted (doc_id, t, node): distinct shingles and counts as bytes."""
-    places = wanted.select(F.xxhash64("doc_id", "t").alias("place"))
+def _two_bits(codes: np.ndarray, words: int) -> np.ndarray:
+    """The upper two bits of each row's codes, packed into so many 64-bit words."""
+    each = codes.shape[1] // words
+    bits = (codes >> np.uint64(62)).reshape(len(codes), words, each) << np.arange(0, 2 * each, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(bits, axis=2)
+
+
+def vectors(docs: DataFrame, wanted: DataFrame, idf: Idf) -> DataFrame:
+    """node, vec (distinct shingles and counts as bytes) and fine (the finer signature of those in a crowd, else empty) of the texts in wanted (doc_id, t, node, crowd)."""
+    places = cut_lineage(wanted.select(F.xxhash64("doc_id", "t").alias("place"), "crowd"))
     members = Members(places, "place", hashed=True)
+    crowds = Members(places.where("crowd"), "place", hashed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = None
         for batch in batches:
             batch = batch.filter(pa.array(members.inside_hashes(batch.column(1).to_numpy().view(np.uint64))))
             for part in T.slices(batch, 0, SLICE_BYTES):
@@ -262,10 +274,20 @@ def vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = [
                     s[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(own, own[1:], strict=False)
                 ]
-                yield pa.RecordBatch.from_arrays([nodes_of(d1, d2), pa.array(raw, pa.binary())], names=["node", "vec"])
+                full = crowds.inside_hashes(part.column(1).to_numpy().view(np.uint64)) & (np.diff(own) > 0)
+                kept = np.repeat(full, np.diff(own))
+                s, log_w = s[kept], np.log(count * idf.of(s)).astype(np.float32)[kept]
+                bounds = np.r_[0, np.cumsum(np.diff(own)[full])]
+                codes = np.zeros((int(full.sum()), FINE), dtype=np.uint64)
+                if len(codes):
+                    sampler = sampler or Sampler(DRAWS + FINE)
+                    for j in range(FINE):
+                        codes[:, j] = sampler.sample(s, log_w, bounds, DRAWS + j)
+                fine = _lists(_two_bits(codes, FINE // 32), full, np.int64)
+                yield pa.RecordBatch.from_arrays([nodes_of(d1, d2), pa.array(raw, pa.binary()), fine], names=["node", "vec", "fine"])
 
     rows = docs.where("doc_id IS NOT NULL").select("text", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("place"))
-    made = rows.mapInArrow(run, "node binary, vec binary")
+    made = rows.mapInArrow(run, "node binary, vec binary, fine array<long>")
     return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -282,12 +304,18 @@ def weighted_jaccard(x: bytes, y: bytes, idf: Idf) -> float:
     return float(common / (w.sum() + v.sum() - common))
 
 
-def promising(a: str, b: str) -> Column:
-    """Whether two arrays of signature words share enough bits to be worth comparing."""
+def unlike(a: str, b: str, words: int) -> Column:
+    """In how many places two arrays of two-bit draws differ."""
     odd = F.lit(0x5555555555555555)
-    differ = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(3)]
-    unlike = [F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd)) for d in differ]
-    return unlike[0] + unlike[1] + unlike[2] <= DRAWS - LEAST_SHARED
+    differ = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(words)]
+    each = [F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd)) for d in differ]
+    return reduce(lambda x, y: x + y, each)
+
+
+def promising(a: str = "sig", b: str = "centre_sig", fine: str = "fine", centre_fine: str = "centre_fine") -> Column:
+    """Whether two signatures are so alike that the texts are worth comparing."""
+    finer = (F.size(fine) == 0) | (F.size(centre_fine) == 0) | (unlike(fine, centre_fine, FINE // 32) <= FINE - FINE_LEAST)
+    return (unlike(a, b, 3) <= DRAWS - LEAST_SHARED) & finer
 
 
 def verified(pairs: DataFrame, vecs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -305,13 +333,10 @@ def verified(pairs: DataFrame, vecs: DataFrame, idf: Idf, threshold: float) -> D
     return both.select("x", "y", "p", "q").mapInArrow(run, "x binary, y binary, similarity double")
 
 
-def bucket_members(texts: DataFrame) -> DataFrame:
-    """key, node, n (texts of the bucket), degree (texts that the node meets in all its buckets) and sig; buckets of two or more."""
+def buckets(texts: DataFrame) -> DataFrame:
+    """key, node, n (texts of the bucket), of buckets of two or more."""
     keys = texts.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut_lineage(keys.join(buckets, "key"))
-    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    return cut_lineage(members.join(degrees.join(texts.select("node", "sig"), "node"), "node"))
+    return cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -320,12 +345,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = cut_lineage(sketches(docs, idf))
     usable = rows.where("doc_id IS NOT NULL AND size(bands) > 0")
     texts = cut_lineage(usable.dropDuplicates(["node"]))
-    members = bucket_members(texts)
-    inside = members.select("node").distinct()
-    vecs = cut_lineage(vectors(docs, texts.select("doc_id", "t", "node").join(inside, "node", "left_semi")))
-    central = F.max(F.struct("degree", "node", "sig")).alias("c")
-    hubs = cut_lineage(members.groupBy("key").agg(central).select("key", F.col("c.node").alias("hub"), F.col("c.sig").alias("hub_sig")))
-    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising("sig", "hub_sig"))
+    met = buckets(texts)
+    # degree: texts that the node meets in all its buckets
+    nodes = met.groupBy("node").agg(F.sum("n").alias("degree"), (F.max("n") >= CROWD).alias("crowd"))
+    nodes = cut_lineage(texts.select("doc_id", "t", "node", "sig").join(nodes, "node"))
+    vecs = cut_lineage(vectors(docs, nodes.select("doc_id", "t", "node", "crowd"), idf))
+    members = cut_lineage(met.join(nodes.join(vecs, "node").select("node", "degree", "sig", "fine"), "node"))
+    vecs = vecs.select("node", "vec")
+    central = F.max(F.struct("degree", "node", "sig", "fine")).alias("c")
+    hubs = members.groupBy("key").agg(central).select(
+        "key", F.col("c.node").alias("hub"), F.col("c.sig").alias("centre_sig"), F.col("c.fine").alias("centre_fine")
+    )
+    hubs = cut_lineage(hubs)
+    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising())
     tested = cut_lineage(stars.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct())
     links = cut_lineage(verified(tested, vecs, idf, threshold))
     labels = components(links, "x", "y")
@@ -337,14 +369,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # a small bucket's texts have a lane each
         at_once = F.floor(F.lit(ROUND_TESTS) / F.col("n"))
         lane = F.when(F.col("n") <= at_once, F.hex("node")).otherwise(F.pmod(F.xxhash64("node"), at_once).cast("string"))
-        chosen = outside.groupBy("key", lane.alias("lane")).agg(F.max(F.struct("degree", "node", "sig", "label")).alias("c"))
+        chosen = outside.groupBy("key", lane.alias("lane")).agg(F.max(F.struct("degree", "node", "sig", "fine", "label")).alias("c"))
         centres = cut_lineage(
-            chosen.select("key", F.col("c.node").alias("centre"), F.col("c.sig").alias("centre_sig"), F.col("c.label").alias("centre_label"))
+            chosen.select("key", *[F.col(f"c.{x}").alias(y) for x, y in (("node", "centre"), ("sig", "centre_sig"), ("fine", "centre_fine"), ("label", "centre_label"))])
         )
         if centres.isEmpty():
             break
         turns = cut_lineage(turns.union(centres.select("key", F.col("centre").alias("node"))))
-        pairs = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & promising("sig", "centre_sig"))
+        pairs = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & promising())
         pairs = pairs.select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y")).distinct()
         fresh = cut_lineage(pairs.join(tested, ["x", "y"], "left_anti"))
         if fresh.isEmpty():
