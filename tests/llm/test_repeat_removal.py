@@ -27,9 +27,9 @@ def brute(texts, length):
     return out
 
 
-def compare(spark, texts, length, gram):
+def compare(spark, texts, length, gram, most=s.MOST_BYTES):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
-    got = {r.doc_id: tuple(r)[1:] for r in s.digests(df, length, gram).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in s.digests(df, length, gram, most).collect()}
     want = brute(texts, length)
     assert len(got) == len(texts)
     for i, w in enumerate(want):
@@ -48,6 +48,7 @@ def test_random_texts(spark):
             t += block[a : a + random.randint(5, 90)] + random.choice("xyz")
         texts.append(t)
     want = compare(spark, texts, 40, 24)
+    assert compare(spark, texts, 40, 24, most=200) == want  # most anchors are too large for one task
     assert sum(w[1] for w in want) > 1000
     assert s.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -62,3 +63,19 @@ def test_remove_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "é" * 500, "a"), (2, None, "b"), (3, "clean", "c")], "doc_id long, text string, copy string")
     out = {r.doc_id: (r.text, r.copy) for r in s.remove(docs).collect()}
     assert out[1] == ("", "a") and out[3] == ("clean", "c") and out[2][1] == "b"
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    for n in [0, 1, 2, 3, 4, 5, 6, 7, 20, 61, 100, 301]:
+        for letters in (1, 2, 5):
+            x = rng.integers(1, letters + 1, n)
+            assert s.suffix_order(x.astype(np.int64)).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+
+
+def test_repeats_of_one_text(spark):
+    rows = [(1, "q" * 2000), (2, "q" * 2000), (3, ("ab" * 300) + "x"), (3, ("ab" * 300) + "x"), (4, "unlike " + "".join(chr(97 + i * i % 23) for i in range(350)))]
+    compare(spark, [t for _, t in rows], s.LENGTH, s.GRAM)
+    out = s.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(len(r.text) for r in out)[:4] == [0, 0, 0, 0] and len(out) == 5
+    assert s.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
