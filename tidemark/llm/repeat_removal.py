@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 400
 GRAM = 256
 SLICE_BYTES = 2_000_000
-#: Most bits of the set of repeated anchors (16 MB); a smaller set takes about eight bits a member.
+#: Most bits of the set of repeated anchors (16 MB); a smaller set takes 64 bits a member or more.
 ANCHOR_BITS = 27
 #: Most bytes of one anchor's stretches that one task sorts, and the symbols of a slice (three names of which fit in 63 bits).
 MOST_BYTES, SLICE_SYMBOLS = 800_000, 1_000_000
@@ -78,7 +78,8 @@ def windows_of(texts: T.Texts, length: int, gram: int):
         at = np.arange(a, b - gram + 1)
         grams = T.ranges(sums, at, at + gram)
         low = sliding_argmin(grams, length - gram + 1)
-        yield int(d), int(a), grams[low], low
+        # minima crowd at the low end of the range; mixed, they fill a bit set evenly
+        yield int(d), int(a), T.mix(grams[low]), low
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -276,7 +277,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     several = _sieve(slim, twins, True).dropDuplicates(["__tkey"])
     counted = anchors(once, length, gram).unionByName(anchors(several, length, gram)).groupBy("a").agg(F.sum("n").alias("n"))
     several_times = cut_lineage(counted.where("n > 1").select("a"))
-    bits = min(ANCHOR_BITS, max(20, (8 * several_times.count()).bit_length()))
+    bits = min(ANCHOR_BITS, max(20, (64 * several_times.count()).bit_length()))
     repeated = Members(several_times, "a", bits=bits, hashed=True)
     found = stretches(once, repeated, length, gram).unionByName(stretches(several, repeated, length, gram))
     found = cut_lineage(found.withColumn("b", F.unhex(F.md5("bytes"))))
