@@ -120,30 +120,14 @@ TRADE_SQL = """v_trade AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title (first line, 200 characters), body (500 characters), lang, source."""
+    """doc_id, title (first line), body (the whole text), lang, source."""
     return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.substring(F.split("text", "\n")[0], 1, 200).alias("title"),
-        F.substring("text", 1, 500).alias("body"),
-        "lang",
-        "source",
-    )
-
-
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents() with the whole text as body."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.substring(F.split("text", "\n")[0], 1, 200).alias("title"),
-        F.col("text").alias("body"),
-        "lang",
-        "source",
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "lang", "source"
     )
 
 
 DOC_SQL = """v_doc AS (
-  SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 200) AS title, substr(text, 1, 500) AS body, lang, source
-  FROM documents
+  SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS body, lang, source FROM documents
 )"""
 
 
