@@ -71,3 +71,17 @@ def volatility_regime(vix: Column) -> Column:
 
 def fear_greed(vix: Column) -> Column:
     return clamp(1 - (vix - 10) / 40, 0.0, 1.0)
+
+
+def trade_plan(price: Column, span: Column, stop: float, target: float) -> tuple[Column, Column, Column, Column]:
+    """Stop and target at so many spans from a price, and both distances in percent of it (null for a price of 0)."""
+    return price - stop * span, price + target * span, F.try_divide(100 * stop * span, price), F.try_divide(100 * target * span, price)
+
+
+def moved(change: Column, least: float = 0.5) -> Column:
+    """up, down or stable by a change in percent."""
+    return F.when(change > least, "up").when(change < -least, "down").when(change.isNotNull(), "stable")
+
+
+def probability_label(p: Column) -> Column:
+    return F.when(p >= 0.8, "very likely").when(p >= 0.6, "likely").when(p >= 0.4, "even").when(p >= 0.2, "unlikely").otherwise("very unlikely")

@@ -37,41 +37,37 @@ def extract_names(df: DataFrame, key: str, text: Column, names: list[tuple[str,
     return df.select(key, F.coalesce(F.try_element_at(found, F.lit(1))["c"], F.lit(default)).alias("code"))
 
 
-def title_groups(df: DataFrame, key: str, title: Column, block: str, least: float, most_df: int) -> DataFrame:
+def title_groups(df: DataFrame, key: str, title: Column, block: str, least: float) -> DataFrame:
     """Pairs of texts of one block whose titles' word sets (four letters or more, the first ten in order) reach a Jaccard similarity.
 
-    Candidates share a word that at most most_df titles hold.
+    Texts with equal sets pair with the first of them only (a star), and only the
+    first of each set pairs with others. Exact by prefixes: with the words of a
+    set in order of frequency, rarest first, two sets that reach the similarity
+    share one of the first n - ceil(least * n) + 1.
     """
-    w = df.select(key, block, F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z]{4,}"), F.lit(0)))), 1, 10).alias("w")).where(F.size("w") > 0)
-    x = w.select(key, block, "w", F.explode("w").alias("term"))
-    rare = x.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= most_df).drop("df")
-    x = x.join(rare, "term")
-    y = x.select(F.col(key).alias("b"), F.col(block).alias("__block"), F.col("w").alias("wb"), "term")
-    pairs = x.join(y, "term").where((F.col(key) < F.col("b")) & (F.col(block) == F.col("__block"))).select(F.col(key).alias("a"), "b", "w", "wb").distinct()
+    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z]{4,}"), F.lit(0)))), 1, 10)
+    rows = df.select(key, F.col(block).alias("block"), words.alias("w")).where(F.size("w") > 0)
+    first = rows.groupBy("block", "w").agg(F.min(key).alias("a"))
+    star = rows.join(first, ["block", "w"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
+    each = first.select("a", "block", F.size("w").alias("n"), F.explode("w").alias("term"))
+    each = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term")
+    place = F.row_number().over(W.partitionBy("a").orderBy("df", "term"))
+    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "block", "term")
+    pairs = prefix.join(prefix.withColumnRenamed("a", "b"), ["block", "term"]).where("a < b").select("a", "b").distinct()
+    sets = first.select("a", "w")
+    both = pairs.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("w").alias("wb")), "b")
     j = F.size(F.array_intersect("w", "wb")) / F.size(F.array_union("w", "wb"))
-    return pairs.withColumn("jaccard", j).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least).union(star)
 
 
 def leader_groups(df: DataFrame, keys: list[str], hours: float) -> DataFrame:
-    """Rows (id, ts, severity) of equal keys grouped in time order: a row within the hours of the group's first joins it.
+    """Rows (id, ts, severity) of equal keys grouped in time order: a row within the hours of the group's first joins it."""
+    from tidemark.operators.rules import date_clusters
 
-    A fold over each key combination's rows; use it where these are short.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("ts", "id", "severity")))
-    packed = df.groupBy(*keys).agg(rows.alias("rows"))
-    kind = "array<struct<first:timestamp_ntz,leader:bigint,n:int,top:double>>"
-    gap = F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = last.isNotNull() & (x["ts"] <= last["first"] + gap)
-        grown = F.struct(last["first"].alias("first"), last["leader"].alias("leader"), (last["n"] + 1).alias("n"), F.greatest(last["top"], x["severity"]).alias("top"))
-        fresh = F.struct(x["ts"].alias("first"), x["id"].alias("leader"), F.lit(1).alias("n"), x["severity"].alias("top"))
-        return F.when(joins, F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
-
-    groups = F.aggregate("rows", F.array().cast(kind), step)
-    out = packed.select(*keys, F.explode(groups).alias("g")).select(*keys, "g.leader", "g.first", "g.n", "g.top")
-    return out.withColumn("severity", F.least(F.lit(10.0), F.col("top") + 0.5 * F.ln("n"))).drop("top")
+    groups = date_clusters(df, keys, "ts", hours / 24).groupBy(*keys, "cluster").agg(
+        F.min_by("id", F.struct("ts", "id")).alias("leader"), F.min("ts").alias("first"), F.count("*").alias("n"), F.max("severity").alias("top")
+    )
+    return groups.withColumn("severity", F.least(F.lit(10.0), F.col("top") + 0.5 * F.ln("n"))).drop("top", "cluster")
 
 
 def profiles(df: DataFrame, owner: str, key: str, text: Column, top: int) -> DataFrame:

@@ -30,18 +30,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     d = both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     n = d.select(F.count("*")).scalar()
     total = F.col("out_degree") + F.col("in_degree")
-    return d.withColumn("degree", total).withColumn("centrality", total / (n - 1))
+    return d.withColumn("degree", total).withColumn("centrality", F.try_divide(total, F.lit(n - 1)))
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
     """Weighted PageRank; the mass of nodes without out-edges is dealt to all."""
     edges = settle(edges)
     out = edges.groupBy("src").agg(F.sum(F.abs("weight")).alias("total"))
-    steps = edges.join(out, "src").select("src", "tgt", (F.abs("weight") / F.col("total")).alias("p"))
+    steps = edges.join(out, "src").select("src", "tgt", F.try_divide(F.abs("weight"), F.col("total")).alias("p"))
     steps = settle(steps)
     every = settle(nodes(edges).join(out, F.col("node") == F.col("src"), "left").select("node", F.col("total").isNull().alias("dangling")))
     n = every.count()
-    rank = every.withColumn("rank", F.lit(1.0 / n))
+    rank = every.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    if not n:
+        return rank.select("node", "rank")
     for _ in range(rounds):
         lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         given = steps.join(rank, F.col("src") == F.col("node")).groupBy("tgt").agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
@@ -62,10 +64,10 @@ def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         a = edges.join(hub, F.col("src") == F.col("node")).groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("hub") * F.col("weight")).alias("auth"))
         a = settle(a)
-        auth = a.withColumn("auth", F.col("auth") / a.select(F.sum("auth")).scalar())
+        auth = a.withColumn("auth", F.try_divide(F.col("auth"), a.select(F.sum("auth")).scalar()))
         h = edges.join(auth, F.col("tgt") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("auth") * F.col("weight")).alias("hub"))
         h = settle(h)
-        hub = h.withColumn("hub", F.col("hub") / h.select(F.sum("hub")).scalar())
+        hub = h.withColumn("hub", F.try_divide(F.col("hub"), h.select(F.sum("hub")).scalar()))
     both = hub.join(auth, "node", "full_outer")
     return both.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("auth", F.lit(0.0)).alias("auth"))
 

@@ -40,8 +40,9 @@ def within(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts:
     r = right.select(F.col(key).alias("__k"), F.col(right_ts).alias("__t"))
     late = F.expr(f"INTERVAL {minutes} MINUTES")
     near = (F.col(key) == F.col("__k")) & (F.col("__t") >= F.col(left_ts)) & (F.col("__t") <= F.col(left_ts) + late)
-    agg = left.join(r, near, "left").groupBy(*left.columns)
-    return agg.agg(F.count("__t").alias("n_within"), F.min("__t").alias("first_within"))
+    rows = left.withColumn("__row", F.monotonically_increasing_id())  # equal rows stay two
+    agg = rows.join(r, near, "left").groupBy("__row", *left.columns)
+    return agg.agg(F.count("__t").alias("n_within"), F.min("__t").alias("first_within")).drop("__row")
 
 
 def forward_as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:

@@ -216,14 +216,20 @@ def streaks(activity: DataFrame) -> DataFrame:
 
 
 def personalised(df: DataFrame, affinities: DataFrame, users: DataFrame, k: int, as_of=None, hours: float = 72) -> DataFrame:
-    """For every user the k best recent events: half severity, a fifth recency-weighted heat, the rest relevance."""
+    """For every user the k best recent events: half severity, a fifth recency-weighted heat, the rest relevance.
+
+    A user's relevance is one number for each (category, region), so only the k best events of each can be among a user's k:
+    users meet that table (k rows a pair of category and region), not the events.
+    """
     recent = look_back(df, hours, as_of=as_of)
     age = (F.unix_timestamp(now_of(df, "ts", as_of).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) / 3600
     heat = F.col("severity") * F.greatest(F.lit(0.4), F.exp(-age / 72))
     relevance = F.coalesce("share", F.lit(0.05)) + F.when(F.col("home") == F.col("region"), 0.3).otherwise(0.1)
+    base = 0.5 * F.col("severity") / 10 + 0.2 * F.col("heat") / 10
+    events = recent.withColumnRenamed("user_id", "event_user").withColumn("heat", heat).withColumn("base", base)
+    best = top_per_group(events, ["category", "region"], [F.desc(F.round("base", 9)), "id"], k).drop("place")
     scored = (
-        recent.withColumnRenamed("user_id", "event_user").withColumn("heat", heat)
-        .join(F.broadcast(users), F.lit(True))
+        users.join(F.broadcast(best), F.lit(True))
         .join(affinities.select("user_id", "category", "share"), ["user_id", "category"], "left")
         .withColumn("score", 0.5 * F.col("severity") / 10 + 0.2 * F.col("heat") / 10 + 0.3 * relevance)
     )

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.insight import forward_as_of
+
 def by() -> WindowSpec:
     """A symbol's bars in date order."""
     return W.partitionBy("symbol").orderBy("date")
@@ -33,7 +35,7 @@ def warm(n: int, value: Column) -> Column:
 
 def returns(df: DataFrame) -> DataFrame:
     prior = F.lag("close").over(by())
-    return df.withColumn("ret", F.col("close") / prior - 1).withColumn("log_ret", F.ln(F.col("close") / prior))
+    return df.withColumn("ret", F.try_divide("close", prior) - 1).withColumn("log_ret", F.ln(F.try_divide("close", prior)))
 
 
 def sma(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
@@ -99,7 +101,7 @@ def volatility(df: DataFrame, n: int = 20, periods: int = 252) -> DataFrame:
 
 def drawdown(df: DataFrame, column: str = "close") -> DataFrame:
     peak = F.max(column).over(by().rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("drawdown", F.col(column) / peak - 1)
+    df = df.withColumn("drawdown", F.try_divide(column, peak) - 1)
     return df.withColumn("max_drawdown", F.min("drawdown").over(by().rowsBetween(W.unboundedPreceding, 0)))
 
 
@@ -107,7 +109,7 @@ def momentum(df: DataFrame) -> DataFrame:
     """Rates of change over 5, 10, 20 and 60 bars in percent (0 where history is short), and their weighted score."""
     score = F.lit(0.0)
     for n, w in ((5, 0.4), (10, 0.3), (20, 0.2), (60, 0.1)):
-        roc = F.coalesce((F.col("close") / F.lag("close", n).over(by()) - 1) * 100, F.lit(0.0))
+        roc = F.coalesce((F.try_divide("close", F.lag("close", n).over(by())) - 1) * 100, F.lit(0.0))
         df = df.withColumn(f"roc{n}", roc)
         score = score + w * F.col(f"roc{n}")
     return df.withColumn("momentum", score)
@@ -138,12 +140,12 @@ def ichimoku(df: DataFrame) -> DataFrame:
 
 
 def label_ahead(df: DataFrame, n: int = 5, gain: float = 0.005) -> DataFrame:
-    return df.withColumn("label", (F.lead("close", n).over(by()) / F.col("close") > 1 + gain).cast("int"))
+    return df.withColumn("label", (F.try_divide(F.lead("close", n).over(by()), F.col("close")) > 1 + gain).cast("int"))
 
 
 def volume_ratio(df: DataFrame, n: int = 20, cap: float = 5.0) -> DataFrame:
     base = F.sum("volume").over(before(n)) / n
-    return df.withColumn("volume_ratio", warm(n + 1, F.least(F.lit(cap), F.col("volume") / base)))
+    return df.withColumn("volume_ratio", warm(n + 1, F.least(F.lit(cap), F.try_divide(F.col("volume"), base))))
 
 
 def _fold(df: DataFrame, step, zero: Column, fields: str, name: str) -> DataFrame:
@@ -284,9 +286,9 @@ def reaction(df: DataFrame, events: DataFrame, key: str) -> DataFrame:
     df = returns(df).withColumn("i", F.row_number().over(by()))
     ahead = [F.coalesce(F.lead("close", n).over(by()), F.last("close").over(by().rowsBetween(0, W.unboundedFollowing))) for n in (1, 2, 5)]
     df = df.select(
-        "symbol", "date", "close", *[(a / F.col("close") - 1).alias(f"r{n}") for a, n in zip(ahead, (1, 2, 5), strict=True)],
-        (F.avg(F.abs("ret")).over(by().rowsBetween(1, 5)) / F.avg(F.abs("ret")).over(before(10))).alias("spike"),
+        "symbol", "date", "close", *[(F.try_divide(a, F.col("close")) - 1).alias(f"r{n}") for a, n in zip(ahead, (1, 2, 5), strict=True)],
+        F.try_divide(F.avg(F.abs("ret")).over(by().rowsBetween(1, 5)), F.avg(F.abs("ret")).over(before(10))).alias("spike"),
     )
-    near = events.join(df.select("symbol", "date"), "symbol").where(F.col("date") >= F.col("on"))
-    first = near.groupBy(key, "symbol", "on").agg(F.min("date").alias("date"))
+    days = df.select("symbol", F.col("date").alias("day"), "date")
+    first = forward_as_of(events.select(key, "symbol", "on"), days, ["symbol"], "on", "day", "date").where("date IS NOT NULL")
     return first.join(df, ["symbol", "date"])

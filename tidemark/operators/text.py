@@ -106,11 +106,21 @@ def tfidf(df: DataFrame, key: str, text: Column, least: int = 3) -> DataFrame:
     return raw.withColumn("w", F.col("r") / F.sqrt(F.sum(F.col("r") * F.col("r")).over(W.partitionBy(key)))).select(key, "term", "w", "df")
 
 
-def similar_pairs(weights: DataFrame, key: str, least: float, most_df: int) -> DataFrame:
-    """Pairs whose cosine reaches least, joined over terms that at most most_df texts hold (a stop list by frequency)."""
-    t = weights.where(F.col("df") <= most_df)
-    other = t.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    dots = t.join(other, "term").where(F.col(key) < F.col("b")).groupBy(F.col(key).alias("a"), "b").agg(F.sum(F.col("w") * F.col("wb")).alias("cosine"))
+def similar_pairs(weights: DataFrame, key: str, least: float) -> DataFrame:
+    """Pairs whose cosine reaches least; weights: key, term, w, df, each text of length one.
+
+    Exact by prefixes: with terms in order of frequency, rarest first, a text's
+    prefix ends where what follows is shorter than least. A pair whose first
+    common term lies behind either prefix cannot reach it, so pairs meet in the
+    prefixes only, and their cosine is then taken over all terms.
+    """
+    order = W.partitionBy(key).orderBy("df", "term")
+    behind = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, W.unboundedFollowing))
+    prefix = weights.withColumn("__behind", behind).where(F.col("__behind") >= least * least * (1 - 1e-9)).select(key, "term")
+    pairs = prefix.select(F.col(key).alias("a"), "term").join(prefix.select(F.col(key).alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
+    left = weights.select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
+    right = weights.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
+    dots = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.where(F.col("cosine") >= least)
 
 
@@ -152,4 +162,4 @@ def conversation_documents(turns: DataFrame, least: int = 50, part: int = 2000,
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return dot / (norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * norm(b))

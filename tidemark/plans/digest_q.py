@@ -40,27 +40,34 @@ def crisis(spark, d):
     return df.select("label", F.round("score", 6).alias("score"), "n", "regions")
 
 
-NAMES = [("united states", "US"), ("united kingdom", "GB"), ("china", "CN"), ("india", "IN"), ("france", "FR"), ("iran", "IR"), ("ira", "XI")]
+NAMES = [("united states", "US"), ("united kingdom", "GB"), ("china", "CN"), ("india", "IN"), ("france", "FR"), ("iran", "IR"), ("ira", "XI"), ("asia", "AS"), ("middle east", "ME"), ("east", "EA"), ("america", "AM"), ("africa", "AF")]
 
 
-@query("t6_country", f"""{E} SELECT id, CASE WHEN contains(t, 'united kingdom') THEN 'GB' WHEN contains(t, 'united states') THEN 'US' WHEN contains(t, 'france') THEN 'FR' WHEN contains(t, 'china') THEN 'CN'
-  WHEN contains(t, 'india') THEN 'IN' WHEN contains(t, 'iran') THEN 'IR' WHEN contains(t, 'ira') THEN 'XI' ELSE 'XX' END AS code FROM (SELECT id, lower('report of ' || country || ' on ' || category) AS t FROM v_event)""")
+@query("t6_country", f"""{E} SELECT id, CASE WHEN contains(t, 'united kingdom') THEN 'GB' WHEN contains(t, 'united states') THEN 'US' WHEN contains(t, 'middle east') THEN 'ME' WHEN contains(t, 'america') THEN 'AM'
+  WHEN contains(t, 'africa') THEN 'AF' WHEN contains(t, 'france') THEN 'FR' WHEN contains(t, 'china') THEN 'CN'
+  WHEN contains(t, 'india') THEN 'IN' WHEN contains(t, 'asia') THEN 'AS' WHEN contains(t, 'east') THEN 'EA' WHEN contains(t, 'iran') THEN 'IR' WHEN contains(t, 'ira') THEN 'XI' ELSE 'XX' END AS code FROM (SELECT id, lower('report of ' || region || ' on ' || category) AS t FROM v_event)""")
 def country(spark, d):
-    text = F.concat(F.lit("report of "), "country", F.lit(" on "), "category")
+    text = F.concat(F.lit("report of "), "region", F.lit(" on "), "category")
     return D.extract_names(V.events(spark, d), "id", text, NAMES)
 
 
-@query("t24_title_groups", f"""{DOC}, w AS (SELECT doc_id, lang, list_slice(list_sort(list_distinct({WORDS.format('title', 4)})), 1, 10) AS w FROM v_doc), x AS (SELECT doc_id, lang, w, unnest(w) AS term FROM w WHERE len(w) > 0),
-  r AS (SELECT term FROM x GROUP BY term HAVING count(*) <= 30), y AS (SELECT x.* FROM x JOIN r USING (term)), p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.w AS wa, b.w AS wb FROM y a JOIN y b
-  ON a.term = b.term AND a.lang = b.lang AND a.doc_id < b.doc_id), j AS (SELECT a, b, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS j FROM p) SELECT a, b, round(j, 6) AS jaccard FROM j WHERE j >= 0.6""")
+@query("t24_title_groups", f"""{DOC}, w AS (SELECT doc_id, lang, list_slice(list_sort(list_distinct({WORDS.format('title', 4)})), 1, 10) AS w FROM v_doc), f AS (SELECT lang, w, min(doc_id) AS doc_id FROM w WHERE len(w) > 0 GROUP BY 1, 2),
+  y AS (SELECT doc_id, lang, w, unnest(w) AS term FROM f), p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.w AS wa, b.w AS wb FROM y a JOIN y b
+  ON a.term = b.term AND a.lang = b.lang AND a.doc_id < b.doc_id UNION ALL SELECT f.doc_id, w.doc_id, w.w, w.w FROM f JOIN w ON f.lang = w.lang AND f.w = w.w AND f.doc_id < w.doc_id), j AS (SELECT a, b, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb))) AS j FROM p) SELECT a, b, round(j, 6) AS jaccard FROM j WHERE j >= 0.6""")
 def title_groups(spark, d):
-    df = D.title_groups(V.documents(spark, d), "doc_id", F.col("title"), "lang", 0.6, 30)
+    df = D.title_groups(V.documents(spark, d), "doc_id", F.col("title"), "lang", 0.6)
     return df.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("t25_leader_groups")
+@query("t25_leader_groups", f"""WITH RECURSIVE {V.EVENT_SQL}, s AS (SELECT DISTINCT country, category, epoch_us(ts) AS s FROM v_event),
+  c AS (SELECT country, category, min(s) AS lead FROM s GROUP BY 1, 2 UNION ALL
+    SELECT c.country, c.category, (SELECT min(s.s) FROM s WHERE s.country = c.country AND s.category = c.category AND s.s - c.lead > 43200000000) FROM c WHERE c.lead IS NOT NULL),
+  m AS (SELECT *, (SELECT max(lead) FROM c WHERE c.country = e.country AND c.category = e.category AND c.lead <= epoch_us(e.ts)) AS cluster FROM v_event e)
+  SELECT category, country, arg_min(id, {{'t': ts, 'i': id}}) AS leader, min(ts) AS first, count(*) AS n, round(least(10.0::DOUBLE, max(severity) + 0.5::DOUBLE * ln(count(*))), 6) AS severity
+  FROM m GROUP BY category, country, cluster""")
 def leader_groups(spark, d):
-    return D.leader_groups(V.events(spark, d), ["category", "country"], 12)
+    df = D.leader_groups(V.events(spark, d), ["category", "country"], 12)
+    return df.select("category", "country", "leader", "first", "n", F.round("severity", 6).alias("severity"))
 
 
 @query("t20_profiles", f"""{DOC}, t AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest({WORDS.format('body', 3)}) AS term FROM v_doc) GROUP BY 1, 2, 3),
@@ -127,10 +134,10 @@ def union_first(spark, d):
 
 
 @query("st6_opened_within", f"""{E}, s AS (SELECT user_id, k AS id, ts AS sent_at FROM v_event WHERE category = 'VIEW'), o AS (SELECT user_id AS open_user, k AS open_id, ts AS opened_at FROM v_event WHERE category = 'CLICK')
-  SELECT user_id, id, sent_at, opened_at FROM s LEFT JOIN o ON open_user = user_id AND open_id = id AND opened_at >= sent_at AND opened_at <= sent_at + INTERVAL 30 MINUTE""")
+  SELECT user_id, id, sent_at, opened_at FROM s LEFT JOIN o ON open_user = user_id AND open_id = id AND opened_at >= sent_at AND opened_at <= sent_at + INTERVAL 7200 MINUTE""")
 def opened(spark, d):
     e = V.events(spark, d)
     sends = e.where("category = 'VIEW'").select("user_id", F.col("k").alias("id"), F.col("ts").alias("sent_at"))
     opens = e.where("category = 'CLICK'").select(F.col("user_id").alias("open_user"), F.col("k").alias("open_id"), F.col("ts").alias("opened_at"))
-    out = J.opened_within(sends, opens)
+    out = J.opened_within(sends, opens, minutes=7200)
     return out.select("user_id", "id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), F.col("opened_at").cast("timestamp_ntz").alias("opened_at"))

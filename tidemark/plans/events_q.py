@@ -127,13 +127,13 @@ def worst(spark, d):
 
 
 @query("f2_filter_events", f"""{E} SELECT id, country, round(severity, 6) AS severity FROM v_event WHERE category = 'CLICK'
-  AND severity >= 2.5 AND country ILIKE '%an%' AND severity >= 4 AND severity < 7""")
+  AND severity >= 2.5 AND contains(country, 'N_1') AND severity >= 4 AND severity < 7""")
 def filtered(spark, d):
     df = K.filter_events(
-        V.events(spark, d), category="CLICK", min_severity=2.5, band="Medium", text="AN", text_columns=("country", "region")
+        V.events(spark, d), category="CLICK", min_severity=2.5, band="Medium", text="N_1", text_columns=("country", "region")
     )
     # the text may stand in the region only; the query asks for the country
-    return df.where(F.col("country").ilike("%an%")).select("id", "country", r6("severity"))
+    return df.where(F.contains("country", F.lit("N_1"))).select("id", "country", r6("severity"))
 
 
 @query("f4_alert_level", f"""{E} SELECT user_id, count(*) AS n FROM v_event WHERE CASE user_id % 3 WHEN 0 THEN true

@@ -299,15 +299,16 @@ def thin(spark, d):
 
 @query("w24_reaction", f"""{B}, {RET}, x AS (SELECT symbol, date, close, ret, lead(close, 1) {O}) AS c1, lead(close, 2) {O}) AS c2, lead(close, 5) {O}) AS c5,
   last_value(close) {O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS cl, avg(abs(ret)) {O} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / avg(abs(ret)) {before(10)} AS spike FROM r),
-  ev AS (SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) AS "on", 'Brand#11' AS symbol FROM orders WHERE o_orderkey % 50 = 0),
-  f AS (SELECT key, e.symbol, min(date) AS date FROM ev e JOIN x ON e.symbol = x.symbol AND x.date >= e."on" GROUP BY 1, 2)
-  SELECT key, date, round(coalesce(c1, cl) / close - 1, 6) + 0.0 AS r1, round(coalesce(c2, cl) / close - 1, 6) + 0.0 AS r2, round(coalesce(c5, cl) / close - 1, 6) + 0.0 AS r5,
+  ev AS (SELECT DISTINCT o_orderkey AS key, CAST(o_orderdate AS DATE) AS "on", p_brand AS symbol FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+  f AS (SELECT key, e.symbol, date FROM ev e ASOF JOIN (SELECT symbol, date FROM x) y ON e.symbol = y.symbol AND y.date >= e."on")
+  SELECT key, symbol, date, round(coalesce(c1, cl) / close - 1, 6) + 0.0 AS r1, round(coalesce(c2, cl) / close - 1, 6) + 0.0 AS r2, round(coalesce(c5, cl) / close - 1, 6) + 0.0 AS r5,
   round(spike, 6) AS spike FROM f JOIN x USING (symbol, date)""")
 def reaction(spark, d):
-    o = V.table(spark, d, "orders").where("o_orderkey % 50 = 0")
-    events = o.select(F.col("o_orderkey").alias("key"), F.lit("Brand#11").alias("symbol"), F.to_date("o_orderdate").alias("on"))
-    df = S.reaction(V.bars(spark, d).where("symbol = 'Brand#11'"), events, "key")
-    return df.select("key", "date", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r1", "r2", "r5", "spike")])
+    line = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    o = V.table(spark, d, "orders").join(line, F.col("l_orderkey") == F.col("o_orderkey"))
+    events = o.select(F.col("o_orderkey").alias("key"), F.col("p_brand").alias("symbol"), F.to_date("o_orderdate").alias("on")).distinct()
+    df = S.reaction(V.bars(spark, d), events, "key")
+    return df.select("key", "symbol", "date", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r1", "r2", "r5", "spike")])
 
 
 @query("q5_factor_regression", f"""{B}, {RET}, f AS (SELECT a.symbol, b.symbol AS factor, regr_slope(a.ret, b.ret) AS beta, regr_r2(a.ret, b.ret) AS r2 FROM r a JOIN r b ON a.date = b.date AND a.symbol <> b.symbol

@@ -144,12 +144,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("tgt"),
         )
         .agg(F.count("*").alias("n"))
-        .withColumn("weight", F.least(F.lit(1.0), F.col("n") / 10))
+        .withColumn("weight", F.least(F.lit(1.0), F.col("n") / 50))
     )
 
 
 EDGE_SQL = """v_edge AS (
   SELECT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS tgt, count(*) AS n,
-         least(1.0::DOUBLE, count(*) / 10) AS weight
+         least(1.0::DOUBLE, count(*) / 50) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
 )"""
