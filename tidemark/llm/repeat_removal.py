@@ -48,11 +48,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 400
 GRAM = 256
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Most bits of the set of repeated anchors (16 MB); a smaller set takes 64 bits a member or more.
 ANCHOR_BITS = 27
 #: Most bytes of one anchor's stretches that one task sorts, and the symbols of a slice (three names of which fit in 63 bits).
-MOST_BYTES, SLICE_SYMBOLS = 800_000, 1_000_000
+MOST_BYTES, SLICE_SYMBOLS = 250_000, 400_000
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -82,25 +82,31 @@ def windows_of(texts: T.Texts, length: int, gram: int):
         yield int(d), int(a), T.mix(grams[low]), low
 
 
-def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """a, n: fingerprints of anchors and how many anchors have them; partial counts by slice."""
+def _outside(batches: Iterator[pa.RecordBatch], members: Members | None) -> Iterator[pa.RecordBatch]:
+    """The batches without the rows whose __slot may be among the members."""
+    for batch in batches:
+        yield batch if members is None else batch.filter(pa.array(~members.inside_hashes(batch.column("__slot").to_numpy().view(np.uint64))))
+
+
+def anchors(texts: DataFrame, length: int, gram: int, but: Members | None = None) -> DataFrame:
+    """a, n: fingerprints of anchors and how many anchors have them, of texts whose __slot is not in but; partial counts by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _outside(batches, but):
             for part in T.slices(batch, 0, SLICE_BYTES):
                 texts_in = T.texts_of(part.column(0), lower=False)
                 each = [g[np.r_[True, low[1:] != low[:-1]]] for _, _, g, low in windows_of(texts_in, length, gram)]
                 a, n = np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], names=["a", "n"])
 
-    return texts.select("text").mapInArrow(run, "a long, n long")
+    return texts.select("text", "__slot").mapInArrow(run, "a long, n long")
 
 
-def stretches(texts: DataFrame, repeated: Members, length: int, gram: int) -> DataFrame:
-    """a (anchor), __tkey, starts, bytes: the distinct stretches of each text, and where they start in it."""
+def stretches(texts: DataFrame, repeated: Members, length: int, gram: int, but: Members | None = None) -> DataFrame:
+    """a (anchor), __tkey, starts, bytes: the distinct stretches of each text whose __slot is not in but, and where they start in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _outside(batches, but):
             for part in T.slices(batch, 1, SLICE_BYTES):
                 inside = T.texts_of(part.column(1), lower=False)
                 whole = inside.data.tobytes()
@@ -119,11 +125,11 @@ def stretches(texts: DataFrame, repeated: Members, length: int, gram: int) -> Da
                 columns = [pa.array(out[0], pa.int64()), part.column(0).take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["a", "__tkey", "starts", "bytes"])
 
-    return texts.select("__tkey", "text").mapInArrow(run, "a long, __tkey binary, starts array<int>, bytes binary")
+    return texts.select("__tkey", "text", "__slot").mapInArrow(run, "a long, __tkey binary, starts array<int>, bytes binary")
 
 
-def _sieve(rows: DataFrame, members: Members, inside: bool) -> DataFrame:
-    """The rows (with __slot and text) whose __slot may be, or is surely not, among the members."""
+def _sieve(rows: DataFrame, members: Members, inside: bool = True) -> DataFrame:
+    """The rows (with __slot) whose __slot may be, or is surely not, among the members."""
     schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,13 +279,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     copies = cut_lineage(rows.groupBy("__tkey", "__slot").count().where("count > 1").select("__tkey", "__slot"))
     twins = Members(copies, "__slot", hashed=True)
     slim = rows.select("__tkey", "__slot", "text")
-    once = _sieve(slim, twins, False)
-    several = _sieve(slim, twins, True).dropDuplicates(["__tkey"])
-    counted = anchors(once, length, gram).unionByName(anchors(several, length, gram)).groupBy("a").agg(F.sum("n").alias("n"))
+    several = _sieve(slim, twins).dropDuplicates(["__tkey"])
+    counted = anchors(slim, length, gram, but=twins).unionByName(anchors(several, length, gram)).groupBy("a").agg(F.sum("n").alias("n"))
     several_times = cut_lineage(counted.where("n > 1").select("a"))
     bits = min(ANCHOR_BITS, max(20, (64 * several_times.count()).bit_length()))
     repeated = Members(several_times, "a", bits=bits, hashed=True)
-    found = stretches(once, repeated, length, gram).unionByName(stretches(several, repeated, length, gram))
+    found = stretches(slim, repeated, length, gram, but=twins).unionByName(stretches(several, repeated, length, gram))
     found = cut_lineage(found.withColumn("b", F.unhex(F.md5("bytes"))))
     distinct = found.groupBy("a", "b").agg(F.first("bytes").alias("bytes"), F.sum(F.size("starts")).alias("n"))
     distinct = cut_lineage(distinct)
