@@ -32,6 +32,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.tidemark.folder", None) or tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.tidemark.folder", folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
