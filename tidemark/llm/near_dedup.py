@@ -59,6 +59,7 @@ CROWD, FINE, FINE_LEAST = 32, 512, 407
 #: Shingles in a smaller share of the documents weigh as if this share had them.
 COMMON = 1e-3
 SLOT_BITS = 22
+LEAST_TEXTS = 4000
 SLICE_BYTES = 1_000_000
 #: Texts that a bucket's centres are held against in one round: all of its centres at once where the bucket is small, else in turns.
 ROUND_TESTS = 4_000_000
@@ -127,8 +128,10 @@ def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
 
     The first counts hashed slots. A task leaves out slots that less than half the share of its own texts have, which
     together takes less than half the share from a slot's sum; so each shingle of the share is in a slot that keeps half of
-    it. The second counts the shingles of such slots.
+    it. The second counts the shingles of such slots. Tasks of few texts could leave out little, so partitions of less than
+    LEAST_TEXTS are put together for it (without a shuffle).
     """
+    whole = docs.select("text").coalesce(max(1, docs.count() // LEAST_TEXTS))
 
     def slots(state, s, n):
         state["n"] += n
@@ -138,7 +141,7 @@ def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
         at = np.flatnonzero(state["total"] >= max(1, common / 2 * state["n"]))
         return np.r_[-1, at].astype(np.int32), np.r_[state["n"], state["total"][at]].astype(np.int64)
 
-    made = _counted(docs, "slot int, n long", lambda: {"n": 0, "total": np.zeros(1 << SLOT_BITS, np.int32)}, slots, frequent)
+    made = _counted(whole, "slot int, n long", lambda: {"n": 0, "total": np.zeros(1 << SLOT_BITS, np.int32)}, slots, frequent)
     sums = cut_lineage(made.groupBy("slot").agg(F.sum("n").alias("n")))
     size = sums.where("slot = -1").agg(F.sum("n")).first()[0] or 0
     rows = sums.where((F.col("slot") >= 0) & (F.col("n") >= common / 2 * size)).select("slot").toArrow()
