@@ -34,7 +34,9 @@ def test_ids_and_round_trip(spark):
         assert rows[i].decoded == text and rows[i].n_tokens == len(ids) == short[i].n_tokens
         assert short[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert short[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert bpe.encode(df.limit(0)).count() == 0
+    back = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df)).collect()}
+    assert back == {i: rows[i].decoded for i in rows}
+    assert bpe.encode(df.limit(0)).count() == bpe.decode(bpe.encode(df.limit(0))).count() == 0
 
 
 def test_table(spark, sf_dir):

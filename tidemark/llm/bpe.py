@@ -34,7 +34,6 @@ import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import read_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,7 +42,7 @@ CONTROL = re.compile("[\x1c-\x1f]")
 #: Characters of text that share one trie; longer texts stand alone.
 SLICE_CHARS = 4_000_000
 #: Words whose encoding a task keeps for its later slices.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Pairs of tokens whose side-by-side test an encoder keeps.
 MOST_PAIRS = 2_000_000
 
@@ -285,5 +284,19 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
+def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and decoded, the text of ids (array of int): the tokens joined by a space; null ids give an empty text, ids outside the vocabulary nothing."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, _ = worker_encoder(path)
+        token = {i: t for t, i in (enc.vocab | enc.special).items()}
+        for batch in batches:
+            texts = [" ".join([token[i] for i in ids or () if i in token]) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read_table(spark, sf_dir, "documents"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
