@@ -78,3 +78,11 @@ def test_running_pairs_as_stream(spark, tmp_path):
     job = R.running_pairs(stream, "nodes").writeStream.outputMode("complete").format("memory").queryName("pairs_seen").trigger(availableNow=True).start()
     assert job.awaitTermination(60)
     assert {(r.a, r.b): r.n for r in spark.table("pairs_seen").collect()} == want
+
+
+def test_labelled_signals(spark):
+    rows = [("a", i, "BUY", "WIN", json.dumps({"x": i})) for i in range(4)] + [("a", 9, "HOLD", "WIN", "{}"), ("a", 8, "BUY", None, "{}")]
+    rows += [("b", 1, "SELL", "LOSS", None), ("c", 1, "SELL", "LOSS", "broken"), ("c", 2, "SELL", "WIN", None)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, action string, outcome string, features string")
+    got = R.labelled_signals(df, ["symbol"], [F.desc("ts")], 2, 3).orderBy("symbol", "ts").collect()
+    assert [(r.symbol, r.ts, r.features) for r in got] == [("a", i, {"x": float(i)}) for i in (1, 2, 3)] + [("c", 1, {}), ("c", 2, {})]

@@ -124,3 +124,12 @@ def model_portfolio(clients: DataFrame, risk: str = "risk", amount: str = "amoun
     rows = [(r, t, p) for r, parts in PORTFOLIOS.items() for t, p in parts.items()]
     table = clients.sparkSession.createDataFrame(rows, "risk string, ticker string, pct int")  # 18 fixed rows
     return clients.withColumn("risk", known).join(F.broadcast(table), "risk").withColumn("part", F.col(amount) * F.col("pct") / 100)
+
+
+def labelled_signals(signals: DataFrame, by: list[str], order: list[Column], min_rows: int = 50, most: int = 5000) -> DataFrame:
+    """Resolved BUY and SELL signals as training rows, features (JSON text) as a map: each group's newest ones, if it has min_rows of them."""
+    kept = signals.where("outcome IS NOT NULL AND action <> 'HOLD'")
+    near = kept.withColumn("__p", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__p") <= most)
+    enough = near.withColumn("__n", F.max("__p").over(W.partitionBy(*by))).where(F.col("__n") >= min_rows).drop("__p", "__n")
+    empty = F.create_map().cast("map<string,double>")
+    return enough.withColumn("features", F.coalesce(F.from_json("features", "map<string,double>"), empty))

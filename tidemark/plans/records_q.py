@@ -120,3 +120,18 @@ def model_portfolio(spark, d):
     clients = V.table(spark, d, "customer").where("c_acctbal > 0").select(risk.alias("risk"), balance.cast("double").alias("amount"))
     df = R.model_portfolio(clients).groupBy("risk", "ticker")
     return df.agg(F.count("*").alias("n"), F.round(F.sum("part"), 2).alias("amount"))
+
+
+@query("s25_labelled_signals", """WITH s AS (SELECT *, l_partkey % 50 AS symbol, CASE l_returnflag WHEN 'R' THEN 'SELL' WHEN 'A' THEN 'BUY' ELSE 'HOLD' END AS action FROM lineitem WHERE l_linenumber <> 1),
+  p AS (SELECT *, row_number() OVER (PARTITION BY symbol, action ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS p FROM s WHERE action <> 'HOLD'),
+  n AS (SELECT *, max(p) OVER (PARTITION BY symbol, action) AS n FROM p WHERE p <= 200)
+  SELECT symbol, action, l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN l_quantity END::DOUBLE AS qty, outcome FROM
+  (SELECT *, CASE WHEN l_quantity > 25 THEN 'WIN' ELSE 'LOSS' END AS outcome FROM n WHERE n >= 50)""")
+def labelled_signals(spark, d):
+    action = F.when(F.col("l_returnflag") == "R", "SELL").when(F.col("l_returnflag") == "A", "BUY").otherwise("HOLD")
+    features = F.when(F.col("l_linenumber") == 7, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("l_quantity").cast("double").alias("qty"))))
+    outcome = F.when(F.col("l_linenumber") != 1, F.when(F.col("l_quantity") > 25, "WIN").otherwise("LOSS"))
+    s = V.table(spark, d, "lineitem").withColumns({"symbol": F.col("l_partkey") % 50, "action": action, "features": features, "outcome": outcome})
+    order = [F.desc("l_shipdate"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))]
+    df = R.labelled_signals(s, ["symbol", "action"], order, 50, 200)
+    return df.select("symbol", "action", "l_orderkey", "l_linenumber", F.col("features")["qty"].alias("qty"), "outcome")
