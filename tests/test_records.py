@@ -1,6 +1,7 @@
 """Records, exports and digests by hand-computed rows; nulls, empties and malformed input."""
 
 import json
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,13 @@ def test_labelled_signals(spark):
     df = spark.createDataFrame(rows, "symbol string, ts int, action string, outcome string, features string")
     got = R.labelled_signals(df, ["symbol"], [F.desc("ts")], 2, 3).orderBy("symbol", "ts").collect()
     assert [(r.symbol, r.ts, r.features) for r in got] == [("a", i, {"x": float(i)}) for i in (1, 2, 3)] + [("c", 1, {}), ("c", 2, {})]
+
+
+def test_later_outcomes(spark):
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    signals = [(1, "a", "BUY", 100.0, day(1)), (2, "a", "SELL", 100.0, day(1, 1)), (3, "a", "BUY", 100.0, day(9)), (4, "b", "BUY", 0.0, day(1)), (5, "a", "HOLD", 1.0, day(1))]
+    prices = [("a", 90.0, day(1, 5)), ("a", 101.0, day(2)), ("a", 99.8, day(2, 1)), ("a", 120.0, day(2, 2)), ("a", None, day(2, 1)), ("b", 5.0, day(5))]
+    s = spark.createDataFrame(signals, "id int, symbol string, action string, price double, ts timestamp")
+    p = spark.createDataFrame(prices, "symbol string, price double, ts timestamp")
+    got = [(r.id, r.later, r.outcome) for r in R.later_outcomes(s, p).orderBy("id").collect()]
+    assert got == [(1, 99.8, "NEUTRAL"), (2, 120.0, "LOSS"), (3, None, None), (4, 5.0, None)]

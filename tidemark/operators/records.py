@@ -133,3 +133,22 @@ def labelled_signals(signals: DataFrame, by: list[str], order: list[Column], min
     enough = near.withColumn("__n", F.max("__p").over(W.partitionBy(*by))).where(F.col("__n") >= min_rows).drop("__p", "__n")
     empty = F.create_map().cast("map<string,double>")
     return enough.withColumn("features", F.coalesce(F.from_json("features", "map<string,double>"), empty))
+
+
+def later_outcomes(signals: DataFrame, prices: DataFrame, after: str = "1 day", band: float = 0.5) -> DataFrame:
+    """Signals (id, symbol, action, price, ts) with the first price of their symbol later than `after`, the return in percent (turned
+    round for SELL) and WIN, LOSS or NEUTRAL; null while no such price is there. One union and one sort by symbol, no join by range.
+    """
+    none = F.lit(None)
+    due = (F.col("ts") + F.expr(f"INTERVAL {after}")).alias("t")
+    asked = signals.where("action <> 'HOLD'").select("symbol", due, F.lit(1).alias("kind"), "id", "action", "price", "ts", none.cast("double").alias("later"))
+    known = prices.where("price IS NOT NULL").select(
+        "symbol", F.col("ts").alias("t"), F.lit(0).alias("kind"), *[none.alias(c) for c in ("id", "action", "price", "ts")], F.col("price").cast("double").alias("later")
+    )
+    # at one time prices stand before signals, so that only later ones follow; of equal times the highest price counts
+    ahead = W.partitionBy("symbol").orderBy("t", "kind", F.desc("later")).rowsBetween(1, W.unboundedFollowing)
+    df = asked.unionByName(known).withColumn("later", F.first("later", ignorenulls=True).over(ahead)).where("kind = 1")
+    change = (F.col("later") / F.nullif(F.col("price"), F.lit(0.0)) - 1) * 100
+    df = df.withColumn("change", F.when(F.col("action") == "SELL", 0 - change).otherwise(change))
+    label = F.when(F.col("change") > band, "WIN").when(F.col("change") < -band, "LOSS").when(F.col("change").isNotNull(), "NEUTRAL")
+    return df.withColumn("outcome", label).select("id", "symbol", "action", "price", "ts", "later", "change", "outcome")

@@ -135,3 +135,14 @@ def labelled_signals(spark, d):
     order = [F.desc("l_shipdate"), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))]
     df = R.labelled_signals(s, ["symbol", "action"], order, 50, 200)
     return df.select("symbol", "action", "l_orderkey", "l_linenumber", F.col("features")["qty"].alias("qty"), "outcome")
+
+
+@query("st10_later_outcomes", f"""{E}, s AS (SELECT id, country, region, CASE WHEN category = 'CLICK' THEN 'SELL' ELSE 'BUY' END AS action, severity AS price, ts FROM v_event WHERE category <> 'VIEW'),
+  p AS (SELECT country, ts, max(severity) AS later FROM v_event WHERE category = 'VIEW' GROUP BY 1, 2),
+  o AS (SELECT s.id, s.action, CASE WHEN s.action = 'SELL' THEN 0 - (p.later / s.price - 1) * 100 ELSE (p.later / s.price - 1) * 100 END AS change FROM s ASOF LEFT JOIN p ON s.country = p.country AND s.ts + INTERVAL 1 DAY < p.ts)
+  SELECT id, action, round(change, 6) AS change, CASE WHEN change > 0.5 THEN 'WIN' WHEN change < -0.5 THEN 'LOSS' WHEN change IS NOT NULL THEN 'NEUTRAL' END AS outcome FROM o""")
+def later_outcomes(spark, d):
+    e = V.events(spark, d).withColumnsRenamed({"country": "symbol", "severity": "price"})
+    action = F.when(F.col("category") == "CLICK", "SELL").otherwise("BUY")
+    df = R.later_outcomes(e.where("category <> 'VIEW'").withColumn("action", action), e.where("category = 'VIEW'"))
+    return df.select("id", "action", F.round("change", 6).alias("change"), "outcome")
