@@ -68,14 +68,15 @@ def hits(spark, d):
     return G.hits(edges(spark, d), 3).select("node", F.round("hub", 9).alias("hub"), F.round("auth", 9).alias("auth"))
 
 
-SPARSE = "WHERE n >= 5 AND (CAST(substr(src, 2) AS INTEGER) % 7) = (CAST(substr(tgt, 2) AS INTEGER) % 7)"
+UND_NEAR = f"{UND}, nb AS (SELECT src, tgt, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, tgt) AS place FROM und)"
 
 
-@query("g11_components", f"""WITH RECURSIVE {V.EDGE_SQL}, s AS (SELECT src, tgt FROM v_edge {SPARSE}), u AS (SELECT src, tgt FROM s UNION SELECT tgt, src FROM s),
+@query("g11_components", f"""WITH RECURSIVE {V.EDGE_SQL}, {UND_NEAR}, s AS (SELECT src, tgt FROM nb WHERE place = 1), u AS (SELECT src, tgt FROM s UNION SELECT tgt, src FROM s),
   reach(node, root) AS (SELECT src, src FROM u UNION SELECT u.tgt, reach.root FROM reach JOIN u ON reach.node = u.src)
   SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def components(spark, d):
-    return G.components(V.edges(spark, d).where(SPARSE.removeprefix("WHERE ")))
+    """Components of the graph in which every node keeps its strongest edge."""
+    return G.components(G.neighbours(V.edges(spark, d), 1))
 
 
 def _labels(rounds: int) -> str:
@@ -92,7 +93,7 @@ def labels(spark, d):
 
 
 def _propagate(hops: int) -> str:
-    steps = [f"{BOTH}, f0 AS (SELECT node AS seed, node, 9.0::DOUBLE AS impact, 0 AS hop FROM (SELECT DISTINCT src AS node FROM v_edge) WHERE node IN ('s1', 's2', 'n3'))"]
+    steps = [f"{BOTH}, f0 AS (SELECT node AS seed, node, 9.0::DOUBLE AS impact, 0 AS hop FROM (SELECT DISTINCT src AS node FROM v_edge))"]
     for h in range(1, hops + 1):
         steps.append(f"""f{h} AS (SELECT seed, tgt AS node, max(impact * weight * 0.65) AS impact, {h} AS hop FROM f{h - 1} JOIN v_edge ON node = src
           WHERE impact * weight * 0.65 >= 0.1 GROUP BY 1, 2)""")
@@ -104,24 +105,21 @@ def _propagate(hops: int) -> str:
 @query("g15_propagate", _propagate(4))
 def propagate(spark, d):
     e = edges(spark, d)
-    seeds = e.where("src IN ('s1', 's2', 'n3')").select(F.col("src").alias("seed"), F.col("src").alias("node"), F.lit(9.0).alias("impact")).distinct()
+    seeds = e.select(F.col("src").alias("seed"), F.col("src").alias("node"), F.lit(9.0).alias("impact")).distinct()
     return G.propagate(e, seeds).select("seed", "node", F.round("impact", 6).alias("impact"), "hop")
 
 
-NEAR = "nb AS (SELECT src, tgt, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, tgt) AS place FROM und)"
-
-
-@query("g19_neighbours", f"{E}, {UND}, {NEAR} SELECT src, tgt, place FROM nb WHERE place <= 5")
+@query("g19_neighbours", f"{E}, {UND_NEAR} SELECT src, tgt, place FROM nb WHERE place <= 5")
 def neighbours(spark, d):
     return G.neighbours(V.edges(spark, d), 5).select("src", "tgt", "place")
 
 
-@query("g20_k_hop", f"""{E}, {UND}, {NEAR}, st AS (SELECT src, tgt FROM nb WHERE place <= 6), h0 AS (SELECT DISTINCT src AS seed, src AS node FROM v_edge WHERE src LIKE 's1%'),
+@query("g20_k_hop", f"""{E}, {UND_NEAR}, st AS (SELECT src, tgt FROM nb WHERE place <= 6), h0 AS (SELECT DISTINCT src AS seed, src AS node FROM v_edge),
   h1 AS (SELECT DISTINCT seed, tgt AS node FROM h0 JOIN st ON node = src), h2 AS (SELECT DISTINCT seed, tgt AS node FROM h1 JOIN st ON node = src),
   a AS (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) SELECT seed, node, min(hop) AS hop FROM a GROUP BY 1, 2""")
 def k_hop(spark, d):
     e = V.edges(spark, d)
-    seeds = e.where("src LIKE 's1%'").select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
+    seeds = e.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()
     return G.k_hop(e, seeds, 2, 6)
 
 
