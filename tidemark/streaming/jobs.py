@@ -77,3 +77,37 @@ def run_upsert(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoin
     """Hands every micro-batch to merge(batch, number)."""
     q = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update")
     q.trigger(availableNow=True).start().awaitTermination()
+
+
+def _folder(path: str, number: int) -> str:
+    """A micro-batch's own folder: a batch that runs again after a failure overwrites its rows."""
+    return f"{path.rstrip('/')}/batch={number}"
+
+
+def push_changes(aggregated: DataFrame, path: str, checkpoint: str) -> None:
+    """Hands the groups that a micro-batch changed to listeners, as a folder of rows for each batch under path."""
+
+    def push(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(_folder(path, number))
+
+    run_upsert(aggregated, push, checkpoint)
+
+
+def split_late(df: DataFrame, on_time: str, late: str, checkpoint: str, ts: str = "ts", delay: str = "1 day") -> None:
+    """Writes rows to on_time, and those older than the newest of earlier batches by more than the delay to late.
+
+    A null ts is on time. Both keep a folder for each batch; the newest time is read from the earlier folders, so a
+    batch that runs again decides alike.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        top = None
+        if number:
+            top = spark.read.parquet(on_time).where(F.col("batch") < number).agg(F.max(ts)).first()[0]
+        old = F.lit(False) if top is None else F.coalesce(F.col(ts) < F.lit(top) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch.where(~old).write.mode("overwrite").parquet(_folder(on_time, number))
+        batch.where(old).write.mode("overwrite").parquet(_folder(late, number))
+
+    q = df.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
