@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as C
+from tidemark.operators import series as S
 
 # Verbs that join two ends of a causal pair, and of a pair that moves together.
 CAUSES = ["caused", "cause", "led to", "lead to", "resulted in", "result in", "triggered", "trigger", "drove", "pushed", "push", "boosted", "boost", "lowered", "lower", "raised", "raise", "increased", "increase", "decreased", "decrease"]
@@ -156,3 +157,20 @@ def composite(df: DataFrame, bars: Column, weights: dict[str, float] | None = No
     df = df.withColumn("composite", F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), total)), 4))
     action = F.when(F.col("composite") > threshold, "BUY").when(F.col("composite") < -threshold, "SELL").otherwise("HOLD")
     return df.withColumns({"confidence": F.round(F.least(F.lit(1.0), bars / 200 * 0.4 + strength), 3), "action": action})
+
+
+def overlay(events: DataFrame, bars: DataFrame, key: str, most: int = 50, severity: float = 5.0, relevance: float = 0.2) -> DataFrame:
+    """Events (key, symbol, category, severity, relevance, on) over a symbol's bars: the most of highest relevance times severity, with reactions and cluster.
+
+    Only events within the bars' dates count. Chosen events of a symbol and category at most a day apart share a cluster,
+    numbered from 1 by date. Equal ranks stand by key.
+    """
+    span = bars.groupBy("symbol").agg(F.min("date").alias("__from"), F.max("date").alias("__to"))
+    near = events.where((F.col("severity") >= severity) & (F.col("relevance") >= relevance)).join(span, "symbol")
+    rank = W.partitionBy("symbol").orderBy(F.desc(F.round(F.col("relevance") * F.col("severity"), 9)), key)
+    kept = near.where("on BETWEEN __from AND __to").withColumn("place", F.row_number().over(rank)).where(F.col("place") <= most).drop("__from", "__to")
+    line = W.partitionBy("symbol", "category").orderBy("on", key)
+    apart = F.coalesce(F.datediff("on", F.lag("on").over(line)) > 1, F.lit(True)).cast("int")
+    clustered = kept.withColumn("__new", apart).withColumn("cluster", F.sum("__new").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    reactions = S.reaction(bars, clustered.select(key, "symbol", "on"), key).select(key, "symbol", "r1", "r2", "r5", "spike")
+    return clustered.join(reactions, [key, "symbol"], "left")

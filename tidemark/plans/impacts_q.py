@@ -125,3 +125,21 @@ def composite(spark, d):
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round("x.momentum", 6) / 10)).alias("momentum"),
     )
     return I.composite(groups, F.col("n")).select("symbol", (F.col("composite") + 0.0).alias("composite"), "confidence", "action")
+
+
+@query("q11_overlay", f"""WITH {V.BAR_SQL}, w AS ({ORACLES['w24_reaction']}), e AS (SELECT o_orderkey AS key, p_brand AS symbol, min(CAST(o_orderdate AS DATE)) AS "on", min(o_orderpriority) AS category,
+  least(10.0, min(o_totalprice) / 25000)::DOUBLE AS severity, max(l_discount)::DOUBLE * 10 AS relevance FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+  f AS (SELECT e.* FROM e JOIN (SELECT symbol, min(date) AS a, max(date) AS b FROM v_bar GROUP BY 1) USING (symbol) WHERE severity >= 5 AND relevance >= 0.2 AND "on" BETWEEN a AND b),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(relevance * severity, 9) DESC, key) AS place FROM f) WHERE place <= 50),
+  g AS (SELECT *, CASE WHEN date_diff('day', lag("on") OVER (PARTITION BY symbol, category ORDER BY "on", key), "on") <= 1 THEN 0 ELSE 1 END AS fresh FROM k),
+  c AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY symbol, category ORDER BY "on", key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM g)
+  SELECT symbol, key, category, place, cluster, r1, r2, r5, spike FROM c LEFT JOIN w USING (key, symbol)""")
+def overlay(spark, d):
+    line = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    o = V.table(spark, d, "orders").join(line, F.col("l_orderkey") == F.col("o_orderkey"))
+    events = o.groupBy(F.col("o_orderkey").alias("key"), F.col("p_brand").alias("symbol")).agg(
+        F.min(F.to_date("o_orderdate")).alias("on"), F.min("o_orderpriority").alias("category"),
+        F.least(F.lit(10.0), F.min("o_totalprice") / 25000).cast("double").alias("severity"), (F.max("l_discount").cast("double") * 10).alias("relevance"),
+    )
+    df = I.overlay(events, V.bars(spark, d), "key")
+    return df.select("symbol", "key", "category", "place", "cluster", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r1", "r2", "r5")], F.round("spike", 6).alias("spike"))
