@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, license_scan, line_dedup, lm, mixing, near_dedup, quality, repeat_removal, search, secret_scan
+from tidemark.llm import bpe, decontamination, license_scan, line_dedup, lm, mixing, near_dedup, quality, repeat_removal, search, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op7_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.level_query,
     "op10_bpe": bpe.query,
+    "op11_decontamination": decontamination.query,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
+    "op11_decontamination": decontamination.ORACLE_SQL,
 }
