@@ -1,7 +1,6 @@
 """Impacts, places, dependency edges, stated measures and pairs, composite scores, and streams of late rows and changes."""
 
 import datetime as dt
-import re
 
 from pyspark.sql import functions as F
 
@@ -11,15 +10,21 @@ from tidemark.streaming import jobs as J
 TEXT = "Oil prices reached 1,250 bps today. Growth of 3.5% held.\nHigh rates Caused weak demand, and Rain led to floods; 7 Cold winds lowered 5 yields. x of 9"
 
 
-def test_texts_against_re(spark):
-    docs = spark.createDataFrame([(1, TEXT), (2, None), (3, ""), (4, TEXT), (5, "word " * 30000)], "id int, t string")
-    got = {(r.id, r.at, r.name, r.value, r.unit) for r in I.measures(docs, "id", F.col("t")).collect()}
-    want = {(i, n, m[1].strip(), m[2].replace(",", ""), m[3] or "") for i in (1, 4) for n, m in enumerate(re.finditer(I.measure_pattern(), TEXT, re.A)) if 3 < len(m[1].strip()) < 50}
-    assert got == want and (1, 0, "Oil prices", "1250", "bps") in got
-    got = {(r.id, r.at, r.src, r.tgt) for r in I.stated_pairs(docs, "id", F.col("t"), I.CAUSES, "causes", 1.2).collect()}
-    want = {(i, n, m[1].strip()[:60], m[2].strip()[:60]) for i in (1, 4) for n, m in enumerate(re.finditer(I.pair_pattern(I.CAUSES), TEXT, re.A)) if min(len(m[1].strip()), len(m[2].strip())) > 3}
-    assert got == want and any(x[2:] == ("High rates", "weak demand") for x in got)
-    assert I.measures(docs.limit(0), "id", F.col("t")).count() == 0
+def test_measures_and_pairs_by_clause(spark):
+    docs = spark.createDataFrame([(1, TEXT), (2, None), (3, ""), (4, TEXT), (5, "word led of 1 " * 10000), (6, "Trade deficit hit 12B, was 3")], "id int, t string")
+    got = {(r.id, r.clause, r.at, r.name, r.value, r.unit) for r in I.measures(docs, "id", F.col("t")).where("id <> 5").collect()}
+    assert I.measures(docs.where("id = 5"), "id", F.col("t")).count() == 10000
+    assert got == {(i, *x) for i in (1, 4) for x in ((0, 3, "Oil prices", "1250", "bps"), (1, 2, "Growth", "3.5", "%"))} | {(6, 0, 3, "Trade deficit", "12", "B")}
+    got = {(r.id, r.clause, r.src, r.tgt) for r in I.stated_pairs(docs, "id", F.col("t"), I.CAUSES, "causes", 1.2).collect()}
+    want = {(2, "High rates", "weak demand"), (3, "and Rain", "floods")}  # "lowered 5" has no words behind it
+    assert got == {(i, *x) for i in (1, 4) for x in want}
+    assert I.measures(docs.limit(0), "id", F.col("t")).count() == 0 and I.stated_pairs(docs.limit(0), "id", F.col("t"), I.CAUSES, "c", 1.0).count() == 0
+
+
+def test_the_longer_verb_and_the_first_one(spark):
+    docs = spark.createDataFrame([(1, "cold rain led to floods that led to panic"), (2, "led to floods caused panic selling")], "id int, t string")
+    got = {(r.id, r.src, r.tgt) for r in I.stated_pairs(docs, "id", F.col("t"), ["led", "led to", "caused"], "causes", 1.0).collect()}
+    assert got == {(1, "cold rain", "floods that led to panic"), (2, "led to floods", "panic selling")}
 
 
 def test_factor_impacts_and_places(spark):

@@ -14,12 +14,9 @@ CAUSES = ["caused", "cause", "led to", "lead to", "resulted in", "result in", "t
 MOVES = ["correlate with", "correlates with", "track", "tracks", "follow", "follows", "move with", "moves with", "inversely correlate", "inversely correlates"]
 
 # Words between a measure's name and its value, and units.
-LINKS = ["of", "at", "reached", "reache", "hit", "was", "is"]
+LINKS = ["of", "at", "reached", "hit", "was", "is"]
 UNITS = ["%", "bps", "bp", "bn", "B", "T", "M", "K", "x", "times"]
 
-#: Longest end of a pair and longest name, in characters; they keep matching linear in a text without punctuation.
-LONGEST = 200
-
 
 def places(df: DataFrame, code: str, known: DataFrame) -> DataFrame:
     """df with name, lat and lon of its upper-case code; an unknown or null code names itself and stands at (0, 0).
@@ -107,36 +104,85 @@ def dependency_edges(pairs: DataFrame, rules: DataFrame, market: Column, sentime
     return by_rule.unionByName(together.where(F.col("weight") >= least))
 
 
-def _any(words: list[str]) -> str:
-    return "|".join(w.replace(" ", r"\s+") for w in sorted(words, key=len, reverse=True))
+#: Words of an end of a pair. A name of under 50 characters has fewer than 26 words, so no more are looked at.
+END_WORDS, NAME_WORDS = 10, 26
+
+#: Where a clause ends: marks before white space or the end, and line breaks.
+CLAUSE_END = r"[.,;:!?]+(?:\s+|$)|\n+"
+_LETTERS = r"^\p{L}+$"
+_VALUE = r"^([0-9][0-9,.]*)(\D*)$"
+
+
+def clauses(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, clause (number within the text), w (its tokens) and low (the tokens in lower case) of every clause of at least two tokens."""
+    each = df.select(key, F.posexplode(F.split(text, CLAUSE_END)).alias("clause", "t"))
+    words = each.select(key, "clause", F.filter(F.split("t", r"\s+"), lambda x: F.length(x) > 0).alias("w"))
+    return words.where(F.size("w") > 1).withColumn("low", F.transform("w", F.lower))
 
 
-def measure_pattern(links: list[str] = LINKS, units: list[str] = UNITS) -> str:
-    return rf"(?i)([A-Z][A-Z\s]{{1,{LONGEST}}}?)\s+(?:{_any(links)})\s+([0-9][0-9,.]*)\s*({_any(units)})?"
+def _run(words: Column) -> Column:
+    """The words of letters only that words starts with."""
+    broken = F.array_position(F.transform(words, lambda x: x.rlike(_LETTERS)), F.lit(False))
+    return F.slice(words, F.lit(1), F.when(broken > 0, broken.cast("int") - 1).otherwise(F.size(words)))
 
 
-def pair_pattern(verbs: list[str]) -> str:
-    return rf"(?i)([A-Z][A-Z\s,]{{1,{LONGEST}}}?)\s+(?:{_any(verbs)})\s+([A-Z][A-Z\s,]{{1,{LONGEST}}}?)[,.;\n]"
+def _run_before(words: Column) -> Column:
+    return F.reverse(_run(F.reverse(words)))
 
 
-def _matches(df: DataFrame, key: str, text: Column, pattern: str, names: list[str]) -> DataFrame:
-    """key, at and the pattern's groups for every match; a long text is read once, its groups come from the short matches."""
-    m = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("at", "m"))
-    return m.select(key, "at", *[F.regexp_extract("m", pattern, i + 1).alias(n) for i, n in enumerate(names)])
+def _before(words: str, at: Column, most: int) -> Column:
+    """The words before place at (from 0), the last `most` of them."""
+    first = F.greatest(at - most, F.lit(0))
+    return F.slice(words, first + 1, at - first)
 
 
-def measures(df: DataFrame, key: str, text: Column, pattern: str | None = None) -> DataFrame:
-    """key, at, name (over 3, under 50 characters), value (no thousands commas) and unit of every measurement that a text states."""
-    m = _matches(df, key, text, pattern or measure_pattern(), ["name", "value", "unit"])
-    out = m.select(key, "at", F.trim("name").alias("name"), F.replace("value", F.lit(","), F.lit("")).alias("value"), "unit")
+def measures(df: DataFrame, key: str, text: Column, links: list[str] = LINKS, units: list[str] = UNITS) -> DataFrame:
+    """key, clause, at (the value's token), name (over 3, under 50 characters), value (no thousands commas) and unit of every stated measure.
+
+    A token that starts with a digit is a value if the token before it is one of the links; the words of letters before
+    that are its name. What follows the digits, or else the next token, is its unit if it is one of the units.
+    """
+    wanted = [x.lower() for x in links]
+    at = F.filter(F.sequence(F.lit(2), F.size("w") - 1), lambda i: F.get("w", i).rlike(_VALUE) & F.get("low", i - 1).isin(wanted))
+    # what is near a value goes on with it, not the clause, so a long clause is not copied for each value
+    near = F.transform(at, lambda i: F.struct(i.alias("at"), _before("w", i - 1, NAME_WORDS).alias("before"), F.get("w", i).alias("token"), F.get("w", i + 1).alias("after")))
+    found = clauses(df, key, text).where(F.size("w") > 2).select(key, "clause", F.explode(near).alias("x")).select(key, "clause", "x.*")
+    token, after = F.col("token"), F.col("after")
+    own = F.regexp_extract(token, _VALUE, 2)
+    unit = F.when(own.isin(units), own).when((own == "") & after.isin(units), after).otherwise("")
+    out = found.select(
+        key, "clause", "at", F.array_join(_run_before(F.col("before")), " ").alias("name"),
+        F.replace(F.rtrim(F.regexp_extract(token, _VALUE, 1), F.lit(".,")), F.lit(","), F.lit("")).alias("value"), unit.alias("unit"),
+    )
     return out.where("length(name) > 3 AND length(name) < 50")
 
 
 def stated_pairs(df: DataFrame, key: str, text: Column, verbs: list[str], relation: str, weight: float) -> DataFrame:
-    """key, at, src, tgt (up to 60 characters, over 3), relation and weight of every pair that a text joins by one of the verbs."""
-    m = _matches(df, key, text, pair_pattern(verbs), ["src", "tgt"])
-    out = m.select(key, "at", *[F.substring(F.trim(c), 1, 60).alias(c) for c in ("src", "tgt")])
-    return out.where("length(src) > 3 AND length(tgt) > 3").withColumns({"relation": F.lit(relation), "weight": F.lit(weight)})
+    """key, clause, src, tgt (up to 60 characters, over 3), relation and weight of every clause in which one of the verbs joins two ends.
+
+    The ends are the words of letters right before and right after the verb, END_WORDS at most; a clause states the
+    pair of its first verb with both ends, the longer verb first. Clauses meet verbs by an equi-join on the verb's first word.
+    """
+    spark = df.sparkSession
+    table = spark.createDataFrame([(v.lower().split()[0], v.lower().split()) for v in verbs], "first string, verb array<string>")
+    most = max((len(v.split()) for v in verbs), default=1)
+    firsts = sorted({v.lower().split()[0] for v in verbs})
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("low", i).isin(firsts))
+    near = F.transform(
+        at,
+        lambda i: F.struct(
+            i.alias("at"), F.get("low", i).alias("first"), F.slice("low", i + 1, F.lit(most)).alias("here"),
+            _before("w", i, END_WORDS).alias("before"), F.slice("w", i + 1, F.lit(most + END_WORDS)).alias("on"),
+        ),
+    )
+    tokens = clauses(df, key, text).select(key, "clause", F.explode(near).alias("x")).select(key, "clause", "x.*")
+    size = F.size("verb")
+    found = tokens.join(F.broadcast(table), "first").where(F.slice("here", F.lit(1), size) == F.col("verb"))  # as many rows as the caller names verbs
+    src, tgt = _run_before(F.col("before")), _run(F.slice("on", size + 1, F.lit(END_WORDS)))
+    ends = found.select(key, "clause", "at", size.alias("size"), *[F.substring(F.array_join(x, " "), 1, 60).alias(n) for x, n in ((src, "src"), (tgt, "tgt"))])
+    ends = ends.where("length(src) > 3 AND length(tgt) > 3")
+    first = ends.groupBy(key, "clause").agg(F.min_by(F.struct("src", "tgt"), F.struct("at", -F.col("size"))).alias("x"))
+    return first.select(key, "clause", "x.src", "x.tgt", F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
 
 
 # Weights of the groups of a composite score (X3).

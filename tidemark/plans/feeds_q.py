@@ -12,14 +12,25 @@ from tidemark.sources import views as V
 E = f"WITH {V.EVENT_SQL}"
 
 
-@query("s2_rss", f"""WITH {V.DOC_SQL} SELECT doc_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, 'http://x/' || CAST(doc_id AS VARCHAR) AS link FROM v_doc
-  WHERE length(trim(regexp_replace(title, '\\s+', ' ', 'g'))) > 3 AND NOT contains(title, '<') AND NOT contains(title, '>') AND NOT contains(title, '&')""")
+_CLEAN = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(title, '<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+
+@query("s2_rss", f"""WITH {V.DOC_SQL}, c AS (SELECT doc_id, {_CLEAN} AS title FROM v_doc)
+  SELECT doc_id, title, 'http://x/' || CAST(doc_id AS VARCHAR) AS link, CASE doc_id % 3 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-01-02' END AS published
+  FROM c WHERE length(title) > 3""")
 def rss(spark, d):
-    docs = V.documents(spark, d).where("NOT (contains(title, '<') OR contains(title, '>') OR contains(title, '&'))")
-    item = F.concat(
-        F.lit("<rss><item><title><![CDATA["), "title", F.lit("]]></title><link>http://x/"), F.col("doc_id").cast("string"), F.lit("</link><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item></rss>")
-    )
-    return S.rss_items(docs.select("doc_id", item.alias("value"))).select("doc_id", "title", "link")
+    docs = V.documents(spark, d)
+    title, link = F.col("title"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))
+    escaped = F.replace(F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    # three kinds of feed; each file ends in an item that was cut off
+    rss = F.concat(F.lit("<rss><item><title><![CDATA["), title, F.lit("]]></title><link> "), link, F.lit(" </link><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item><item><title>cut off"))
+    rdf = F.concat(F.lit('<RDF><ITEM about="x"><TITLE>'), escaped, F.lit("</TITLE><Link>"), link, F.lit("</Link><dc:date>2024-01-02T00:00:00Z</dc:date></ITEM><item><title>torn</b></title></item>"))
+    atom = F.concat(F.lit('<feed><entry xml:lang="x"><link rel="self" href="no"/><link rel="alternate" href="'), link, F.lit('"/><title type="html">'), escaped, F.lit("</title></entry><entry>"))
+    kind = F.col("doc_id") % 3
+    feed = F.when(kind == 0, rss).when(kind == 1, rdf).otherwise(atom)
+    out = S.rss_items(docs.select("doc_id", feed.alias("value")))
+    return out.select("doc_id", "title", "link", F.to_date("published").cast("string").alias("published"))
 
 
 @query("s3_quakes", f"""{E} SELECT md5('usgs:' || CAST(id AS VARCHAR)) AS id, country AS title, round(least(10, greatest(4.5, severity)), 6) AS severity FROM v_event WHERE severity >= 4.5""")

@@ -13,23 +13,35 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import clamp, clean_html, first_time
 
 
-def _tag(xml: Column, names: tuple[str, ...]) -> Column:
-    """The content of the first of the tags that is there, CDATA unwrapped."""
-    each = [F.nullif(F.regexp_extract(xml, rf"(?s)<{n}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{n}>", 1), F.lit("")) for n in names]
-    return F.coalesce(*each)
+#: The fields of an item; XML names count in any case and without their prefix, so dc:date is date.
+ITEM = """title string, description string, summary string, content string, encoded string, pubDate string, published string, updated string,
+date string, link array<struct<_VALUE:string,_href:string,_rel:string>>"""
 
 
 def rss_items(files: DataFrame, raw: str = "value") -> DataFrame:
-    """Items of RSS and Atom feeds: title (over three characters), summary, link, published."""
-    items = F.regexp_extract_all(F.col(raw), F.lit(r"(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))
-    x = files.select(*[c for c in files.columns if c != raw], F.explode(items).alias("__x"))
-    link = F.coalesce(_tag(F.col("__x"), ("link",)), F.nullif(F.regexp_extract("__x", r'<link[^>]*href="([^"]*)"', 1), F.lit("")))
+    """Items of RSS and Atom feeds: title (over three characters), summary, link, published.
+
+    A file is cut where items open and close, and each item is read as XML by
+    itself, so that a broken item loses only itself: it gives nulls, and no row
+    without a title. An ampersand that starts no XML entity is taken as text.
+    Of several links the first with a text counts, else the first that is not
+    rel="self", else the first.
+    """
+    keep = [c for c in files.columns if c != raw]
+    plain = F.regexp_replace(raw, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+    opened = F.filter(F.split(plain, r"(?i)<(?=(?:item|entry)[\s>])"), lambda t, i: i > 0)
+    parts = F.filter(F.transform(opened, lambda t: F.split(t, r"(?i)</(?:item|entry)\s*>", 2)), lambda t: F.size(t) == 2)
+    item = F.transform(parts, lambda t: F.concat(F.lit("<"), F.regexp_replace(t[0], r"^[A-Za-z]+", "item"), F.lit("</item>")))
+    x = files.select(*keep, F.explode(item).alias("__x")).select(*keep, F.from_xml("__x", ITEM, {"ignoreNamespace": "true"}).alias("x"))
+    link = F.col("x.link")
+    texts = F.filter(F.transform(link, lambda v: F.trim(v["_VALUE"])), lambda t: F.length(t) > 0)
+    others = F.filter(link, lambda v: ~F.coalesce(v["_rel"] == "self", F.lit(False)))
     df = x.select(
-        *[c for c in files.columns if c != raw],
-        clean_html(_tag(F.col("__x"), ("title",))).alias("title"),
-        clean_html(_tag(F.col("__x"), ("description", "summary", "content"))).alias("summary"),
-        link.alias("link"),
-        first_time(_tag(F.col("__x"), ("pubDate", "published", "updated"))).alias("published"),
+        *keep,
+        clean_html(F.col("x.title")).alias("title"),
+        clean_html(F.coalesce("x.description", "x.summary", "x.content", "x.encoded")).alias("summary"),
+        F.coalesce(F.get(texts, 0), F.get(others, 0)["_href"], F.get(link, 0)["_href"]).alias("link"),
+        first_time(F.coalesce("x.pubDate", "x.published", "x.updated", "x.date")).alias("published"),
     )
     return df.where(F.length("title") > 3)
 
