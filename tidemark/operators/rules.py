@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clamp
 from tidemark.operators import text as T
+from tidemark.operators.leaders import with_leader
 
 
 def tone(df: DataFrame, text: Column, positive: list[str], negative: list[str], uncertain: list[str], stress: list[str]) -> DataFrame:
@@ -67,23 +68,9 @@ def asset_relevance(category_weight: Column, severity: Column, drivers: Column,
 
 
 def date_clusters(df: DataFrame, keys: list[str], ts: str, days: float) -> DataFrame:
-    """cluster: the time of the row that opened it; a row more than the days after its cluster's first opens the next.
-
-    Gaps longer than the days cut a key's rows into runs first, where a new cluster is certain; only such a run is folded.
-    """
-    by = W.partitionBy(*keys).orderBy("__s")
-    span = int(days * 86_400_000_000)
-    df = df.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")))
-    df = df.withColumn("__new", F.coalesce((F.col("__s") - F.lag("__s").over(by) > span).cast("int"), F.lit(1)))
-    df = df.withColumn("__run", F.sum("__new").over(by.rangeBetween(W.unboundedPreceding, 0)))
-    times = df.groupBy(*keys, "__run").agg(F.array_sort(F.collect_set("__s")).alias("t"))
-    last = lambda acc: F.element_at(acc, -1)
-    leaders = F.aggregate(
-        F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 1, 1), lambda acc, x: F.when(x - last(acc) > span, F.array_append(acc, x)).otherwise(acc)
-    )
-    runs = times.select(*keys, "__run", leaders.alias("leaders"))
-    lead = F.array_max(F.filter("leaders", lambda x: x <= F.col("__s")))
-    return df.join(runs, [*keys, "__run"]).withColumn("cluster", F.timestamp_micros(lead)).drop("__s", "__new", "__run", "leaders")
+    """cluster: the time of the row that opened it; a row more than the days after its cluster's first opens the next."""
+    out = with_leader(df, keys, ts, int(days * 86_400_000_000), "__lead")
+    return out.withColumn("cluster", F.timestamp_micros("__lead")).drop("__lead")
 
 
 def news_edges(df: DataFrame, cues: list[str], hours: float = 2) -> DataFrame:
