@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.operators.kpis import now_of, top_per_group
+from tidemark.operators.leaders import with_leader
 
 MOST_RULES = 10_000
 
@@ -199,28 +201,18 @@ def chain_edges(df: DataFrame, group: str, hours: float) -> DataFrame:
 def memory_dedup(entries: DataFrame, hours: float = 24, chars: int = 120, least: int = 15) -> DataFrame:
     """Entries (user_id, ts, text) without those that repeat a kept entry's first characters within the hours.
 
-    What counts is the last kept entry, so this is a fold over a user's entries
-    of one prefix in time order; such a list is short, as it is one user's.
+    What counts is the last kept entry, so the kept ones are the leaders of their groups. Of entries of one time the
+    least text stays; one without a time is left out.
     """
     df = entries.where(F.length("text") >= least).withColumn("__p", F.substring("text", 1, chars))
-    rows = F.array_sort(F.collect_list(F.struct("ts", "text")))
-    packed = df.groupBy("user_id", "__p").agg(rows.alias("rows"))
-    kind = "array<struct<ts:timestamp_ntz,text:string>>" if dict(entries.dtypes)["ts"] == "timestamp_ntz" else "array<struct<ts:timestamp,text:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = last.isNull() | (x["ts"] > last["ts"] + F.expr(f"INTERVAL {int(hours * 3600)} SECONDS"))
-        return F.when(fresh, F.array_append(acc, x)).otherwise(acc)
-
-    kept = F.aggregate("rows", F.array().cast(kind), step)
-    return packed.select("user_id", F.explode(kept).alias("x")).select("user_id", "x.ts", "x.text")
+    led = with_leader(df, ["user_id", "__p"], "ts", int(hours * 3_600_000_000), "__lead").where(F.unix_micros(F.col("ts").cast("timestamp")) == F.col("__lead"))
+    return led.groupBy("user_id", "__p", "ts").agg(F.min("text").alias("text")).select("user_id", "ts", "text")
 
 
 def reweight(feedback: DataFrame, gain: float = 0.3, loss: float = -0.2) -> DataFrame:
     """Per entry the weight after its feedback (entry, seq, rating) in order, held within .05 and 5 after each step."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "rating")))
-
-    def step(w: Column, x: Column) -> Column:
-        return F.greatest(F.lit(0.05), F.least(F.lit(5.0), w + F.when(x["rating"] > 0, gain).otherwise(loss)))
-
-    return feedback.groupBy("entry").agg(F.count("*").alias("n"), F.aggregate(steps, F.lit(1.0), step).alias("weight"))
+    shift = F.when(F.col("rating") > 0, gain).otherwise(loss).cast("double")
+    m = F.struct(shift.alias("shift"), F.lit(0.05).alias("low"), F.lit(5.0).alias("high"))
+    rank = F.row_number().over(W.partitionBy("entry").orderBy("seq", "rating")) - 1
+    out = scan.whole(feedback.select("entry", rank.cast("long").alias("r"), m.alias("m")), ["entry"], scan.held_within)
+    return out.select("entry", "n", F.greatest(F.col("m.low"), F.least(F.col("m.high"), 1.0 + F.col("m.shift"))).alias("weight"))

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.operators.insight import forward_as_of
 
+
 def by() -> WindowSpec:
     """A symbol's bars in date order."""
     return W.partitionBy("symbol").orderBy("date")
@@ -148,22 +150,27 @@ def volume_ratio(df: DataFrame, n: int = 20, cap: float = 5.0) -> DataFrame:
     return df.withColumn("volume_ratio", warm(n + 1, F.least(F.lit(cap), F.try_divide(F.col("volume"), base))))
 
 
-def _fold(df: DataFrame, step, zero: Column, fields: str, name: str) -> DataFrame:
-    """An ordered fold over each symbol's bars; step(state, bar) gives the next state, and every state comes back to its bar.
-
-    One array a symbol: right for bars (at most some 10**5 a symbol), not for ticks.
-    """
-    bars = F.array_sort(F.collect_list(F.struct("date", *[c for c in df.columns if c not in ("symbol", "date")])))
-    packed = df.groupBy("symbol").agg(bars.alias("bars"))
-    start = F.struct(zero.alias("state"), F.array().cast(f"array<{fields}>").alias("out"))
+def _recurrence(df: DataFrame, maps: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """df with a column for each name: v = a v + b over a symbol's bars in date order from v = 0; composed block by block (scan)."""
+    kept = df.columns
+    m = F.struct(*[F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")).alias(n) for n, (a, b) in maps.items()])
+    rows = df.withColumn("__m", m).select("symbol", (F.row_number().over(by()) - 1).cast("long").alias("r"), F.col("__m").alias("m"), F.struct(*kept).alias("x"))
+    out = scan.running(rows, ["symbol"], scan.affine(list(maps)))
+    return out.select(*[F.col(f"x.`{c}`").alias(c) for c in kept], *[F.col(f"m.{n}.b").alias(n) for n in maps])
 
-    def run(acc: Column, bar: Column) -> Column:
-        state = step(acc["state"], bar)
-        return F.struct(state.alias("state"), F.array_append(acc["out"], state).alias("out"))
 
-    states = F.aggregate("bars", start, run, lambda acc: acc["out"])
-    both = packed.select("symbol", F.explode(F.arrays_zip(F.col("bars").alias("bars"), states.alias("states"))).alias("x"))
-    return both.select("symbol", "x.bars.*", F.col("x.states").alias(name))
+def _smoothed(df: DataFrame, column: str, name: str, n: int, k: float, seed: str) -> DataFrame:
+    """v + k (x - v) over the non-null values of a column from the n-th on, null before; seed close or sma gives the n-th."""
+    x = F.col(column)
+    upto = by().rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumns({"__i": F.count(column).over(upto), "__sum": F.sum(column).over(upto)})
+    i = F.col("__i")
+    first = x if seed == "close" else F.col("__sum") / n
+    # nothing moves at a null, and the n-th value forgets what was before it
+    a = F.when(x.isNull(), 1.0).when(i <= n, 0.0).otherwise(1.0 - k)
+    b = F.when(x.isNull() | (i < n), 0.0).when(i == n, first).otherwise(k * x)
+    out = _recurrence(df, {"__v": (a, b)})
+    return out.withColumn(name, F.when(i >= n, F.col("__v"))).drop("__i", "__sum", "__v")
 
 
 def ema(df: DataFrame, n: int, name: str | None = None, seed: str = "close", column: str = "close") -> DataFrame:
@@ -171,19 +178,9 @@ def ema(df: DataFrame, n: int, name: str | None = None, seed: str = "close", col
 
     seed close: starts with the n-th value; seed sma: starts with the mean of the first n.
     """
-    k, name = 2.0 / (n + 1), name or f"ema{n}"
-    kind = "struct<i:int,sum:double,v:double>"
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("v"))
-
-    def step(s: Column, bar: Column) -> Column:
-        x = bar[column]
-        first = x if seed == "close" else (s["sum"] + x) / n
-        v = F.when(s["i"] + 1 < n, F.lit(None)).when(s["i"] + 1 == n, first).otherwise(s["v"] + k * (x - s["v"]))
-        grown = F.struct((s["i"] + 1).alias("i"), (s["sum"] + x).alias("sum"), v.cast("double").alias("v"))
-        return F.when(x.isNull(), s).otherwise(grown)
-
-    out = _fold(df, step, zero, kind, "__s")
-    return out.withColumn(name, F.when(F.col(column).isNotNull(), F.col("__s.v"))).drop("__s")
+    name = name or f"ema{n}"
+    out = _smoothed(df, column, "__ema", n, 2.0 / (n + 1), seed)
+    return out.withColumn(name, F.when(F.col(column).isNotNull(), F.col("__ema"))).drop("__ema")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -208,16 +205,7 @@ def atr(df: DataFrame, n: int = 14) -> DataFrame:
     prior = F.lag("close").over(by())
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior))
     df = df.withColumn("tr", F.when(prior.isNotNull(), tr))
-    kind = "struct<i:int,sum:double,v:double>"
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("v"))
-
-    def step(s: Column, bar: Column) -> Column:
-        x = bar["tr"]
-        v = F.when(s["i"] + 1 < n, F.lit(None)).when(s["i"] + 1 == n, (s["sum"] + x) / n).otherwise((s["v"] * (n - 1) + x) / n)
-        grown = F.struct((s["i"] + 1).alias("i"), (s["sum"] + x).alias("sum"), v.cast("double").alias("v"))
-        return F.when(x.isNull(), s).otherwise(grown)
-
-    return _fold(df, step, zero, kind, "__s").withColumn("atr", F.col("__s.v")).drop("__s")
+    return _smoothed(df, "tr", "atr", n, 1.0 / n, "sma")
 
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
@@ -230,25 +218,18 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
         .withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p["close"]), F.abs(F.col("low") - p["close"])))
         .withColumn("__i", F.row_number().over(by()) - 1)
     )
-    names = ("pdm", "mdm", "tr")
-    kind = "struct<p:double,m:double,t:double>"
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in "pmt"])
-
-    def step(s: Column, bar: Column) -> Column:
-        warm_up = bar["__i"] <= n  # plain sums until there are n moves
-        x = {k: F.coalesce(F.when(bar["__i"] > 0, bar[c]), F.lit(0.0)) for k, c in zip("pmt", names, strict=True)}
-        sums = [F.when(warm_up, s[k] + x[k]).otherwise(s[k] - s[k] / n + x[k]).alias(k) for k in "pm"]
-        mean = F.when(bar["__i"] < n, s["t"] + x["t"]).when(bar["__i"] == n, (s["t"] + x["t"]) / n).otherwise((s["t"] * (n - 1) + x["t"]) / n)
-        return F.struct(*sums, mean.alias("t"))
-
-    df = _fold(df, step, zero, kind, "__s")
-    ready = (F.col("__i") >= n) & (F.col("__s.t") > 0)
-    df = df.withColumn("di_plus", F.when(ready, 100 * F.col("__s.p") / F.col("__s.t")))
-    df = df.withColumn("di_minus", F.when(ready, 100 * F.col("__s.m") / F.col("__s.t")))
+    i = F.col("__i")
+    x = {c: F.coalesce(F.when(i > 0, F.col(c)), F.lit(0.0)) for c in ("pdm", "mdm", "tr")}
+    fade = F.when(i <= n, 1.0).otherwise(1.0 - 1.0 / n)  # plain sums until there are n moves
+    mean = F.when(i < n, 1.0).when(i == n, 1.0 / n).otherwise(1.0 - 1.0 / n), F.when(i < n, x["tr"]).otherwise(x["tr"] / n)
+    df = _recurrence(df, {"__p": (fade, x["pdm"]), "__m": (fade, x["mdm"]), "__t": mean})
+    ready = (F.col("__i") >= n) & (F.col("__t") > 0)
+    df = df.withColumn("di_plus", F.when(ready, 100 * F.col("__p") / F.col("__t")))
+    df = df.withColumn("di_minus", F.when(ready, 100 * F.col("__m") / F.col("__t")))
     total = F.col("di_plus") + F.col("di_minus")
     df = df.withColumn("dx", F.when(total > 0, 100 * F.abs(F.col("di_plus") - F.col("di_minus")) / total))
     out = df.withColumn("adx", F.when(F.col("__i") >= 2 * n, F.avg("dx").over(last(n))))
-    return out.drop("__s", "__i", "pdm", "mdm", "tr", "dx")
+    return out.drop("__p", "__m", "__t", "__i", "pdm", "mdm", "tr", "dx")
 
 
 def regime(df: DataFrame) -> DataFrame:

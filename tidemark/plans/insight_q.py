@@ -174,10 +174,14 @@ def chain(spark, d):
     return I.chain_edges(V.events(spark, d), "country", 2)
 
 
-@query("t30_memory_dedup")
+@query("t30_memory_dedup", f"""WITH RECURSIVE {V.EVENT_SQL}, s AS (SELECT DISTINCT user_id, 'a remembered note on ' || category AS text, epoch_us(ts) AS s FROM v_event),
+  c AS (SELECT user_id, text, min(s) AS lead FROM s GROUP BY 1, 2 UNION ALL
+    SELECT c.user_id, c.text, (SELECT min(s.s) FROM s WHERE s.user_id = c.user_id AND s.text = c.text AND s.s - c.lead > 86400000000) FROM c WHERE c.lead IS NOT NULL)
+  SELECT user_id, lead AS at_us, text FROM c WHERE lead IS NOT NULL""")
 def memory(spark, d):
     e = V.events(spark, d)
-    return I.memory_dedup(e.select("user_id", "ts", F.concat(F.lit("a remembered note on "), "category").alias("text")))
+    kept = I.memory_dedup(e.select("user_id", "ts", F.concat(F.lit("a remembered note on "), "category").alias("text")))
+    return kept.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "text")
 
 
 @query("t31_reweight", """WITH s AS (SELECT user_id AS entry, list(CASE WHEN event_type IN ('click', 'purchase') THEN 0.3 ELSE -0.2 END ORDER BY event_id) AS v FROM events GROUP BY 1)
