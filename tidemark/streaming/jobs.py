@@ -111,3 +111,34 @@ def split_late(df: DataFrame, on_time: str, late: str, checkpoint: str, ts: str
 
     q = df.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
     q.trigger(availableNow=True).start().awaitTermination()
+
+
+def keep_result(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregate over what has landed since the last run and leaves its whole result at path."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete")
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
+def append_rows(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream over what has landed since the last run and adds its rows at path, each micro-batch once."""
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    q.trigger(availableNow=True).start().awaitTermination()
+
+
+def snapshot(df: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> None:
+    """Adds each micro-batch's part of every day's snapshot (n, total and top severity); read_snapshot() sums the parts up."""
+    run_upsert(df, lambda batch, number: day_parts(batch, ts).write.mode("overwrite").parquet(_folder(path, number)), checkpoint)
+
+
+def day_parts(batch: DataFrame, ts: str) -> DataFrame:
+    return batch.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.sum("severity").alias("total"), F.max("severity").alias("top"))
+
+
+def read_snapshot(df: DataFrame) -> DataFrame:
+    """day, n, avg_severity and max_severity from the parts."""
+    days = df.groupBy("day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("max_severity"))
+    return days.select("day", "n", (F.col("total") / F.col("n")).alias("avg_severity"), "max_severity")
