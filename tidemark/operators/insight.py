@@ -51,8 +51,8 @@ def forward_as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
     """left with the value of the first right row at or after its time."""
     a = left.withColumn("__t", F.col(left_ts)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__o", F.lit(0))
     b = right.select(*keys, F.col(right_ts).alias("__t"), F.col(value).alias("__v"), F.lit(1).alias("__o"))
-    by = W.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(0, W.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.first("__v", ignorenulls=True).over(by))
+    by = W.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__o")).rowsBetween(W.unboundedPreceding, 0)  # backwards, so that the frame only grows
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(by))
     return both.where("__o = 0").select(*left.columns, value)
 
 

@@ -72,13 +72,15 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def portfolio(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """Value by date of a portfolio (symbol, weight; normalised) whose parts start at 100, over dates that all parts have."""
-    total = weights.agg(F.sum("weight")).scalar()
-    n = weights.agg(F.count("*")).scalar()
+    """Value by date of a portfolio (symbol, weight; normalised) whose parts start at 100, over dates that all parts have.
+
+    A part that starts at 0 has no value; neither has a portfolio with such a part, or with weights that add up to 0.
+    """
+    total, n = weights.agg(F.sum("weight"), F.count("*")).first()
     first = F.first("close").over(S.by().rowsBetween(W.unboundedPreceding, 0))
-    parts = df.withColumn("norm", 100 * F.col("close") / first).join(F.broadcast(weights), "symbol")
-    nav = parts.groupBy("date").agg(F.sum(F.col("norm") * F.col("weight")).alias("v"), F.count("*").alias("parts"))
-    return nav.where(F.col("parts") == n).select("date", (F.col("v") / total).alias("nav"))
+    parts = df.withColumn("norm", F.try_divide(100 * F.col("close"), first)).join(weights, "symbol")
+    nav = parts.groupBy("date").agg(F.sum(F.col("norm") * F.col("weight")).alias("v"), F.count("norm").alias("parts"))
+    return nav.where(F.col("parts") == n).select("date", F.try_divide("v", F.lit(total).cast("double")).alias("nav"))
 
 
 def factor_regression(df: DataFrame, factors: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def graph_entities(df: DataFrame, key: str, text: Column, kinds: dict[str, list[
     low = F.lower(text)
     n = F.greatest(F.size(F.split(F.trim(low), r"\s+")), F.lit(1))
     rows = [
-        F.struct(F.lit(kind).alias("kind"), F.lit(e).alias("entity"), F.regexp_count(low, F.lit(rf"\b{e}\b")).alias("count"),
+        F.struct(F.lit(kind).alias("kind"), F.lit(e).alias("entity"), F.regexp_count(low, F.lit(rf"(?<!\w){re.escape(e)}(?!\w)")).alias("count"),
                  F.contains(F.substring(low, 1, early), F.lit(e)).alias("early"))
         for kind, names in kinds.items() for e in names
     ]

@@ -248,7 +248,7 @@ def regime(df: DataFrame) -> DataFrame:
 
 def performance_at_end(df: DataFrame) -> DataFrame:
     """Per symbol the newest close and its change over one, four and nineteen bars, in percent."""
-    change = {n: (F.col("close") / F.lag("close", n).over(by()) - 1) * 100 for n in (1, 4, 19)}
+    change = {n: (F.try_divide("close", F.lag("close", n).over(by())) - 1) * 100 for n in (1, 4, 19)}
     df = df.select("symbol", "date", "close", *[c.alias(f"d{n}") for n, c in change.items()])
     newest = df.groupBy("symbol").agg(F.max_by(F.struct("close", "d1", "d4", "d19"), "date").alias("x"))
     return newest.select("symbol", "x.*")

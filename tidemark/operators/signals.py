@@ -34,7 +34,7 @@ def bollinger_reversion(df: DataFrame) -> DataFrame:
 
 
 def momentum_sign(df: DataFrame, n: int = 20) -> DataFrame:
-    roc = F.col("close") / F.lag("close", n).over(S.by()) - 1
+    roc = F.try_divide("close", F.lag("close", n).over(S.by())) - 1
     return df.withColumn("action", F.when(roc > 0, "BUY").when(roc < 0, "SELL").otherwise("HOLD"))
 
 

@@ -195,7 +195,7 @@ NAV = f"""{B}, r AS (SELECT symbol, date, close / lag(close) OVER w - 1 AS ret,
   round(m * 252 / (s * sqrt(252) + 1e-9), 6) AS sharpe, round(m * 252 / (d * sqrt(252) + 1e-9), 6) AS sortino, round(dd * 100, 6) AS max_drawdown,
   round((pow(last / 100, 252 / n) - 1) * 100 / (dd * 100 + 1e-9), 6) AS calmar FROM a""")
 def backtest_metrics(spark, d):
-    nav = S.returns(V.bars(spark, d)).withColumn("nav", 100 * F.col("close") / F.first("close").over(S.by()))
+    nav = S.returns(V.bars(spark, d)).withColumn("nav", F.try_divide(100 * F.col("close"), F.first("close").over(S.by())))
     df = O.backtest_metrics(nav)
     return df.select("symbol", F.round("total_return", 5).alias("total_return"), F.round("annual_return", 5).alias("annual_return"), *map(r6, ("sharpe", "sortino", "max_drawdown", "calmar")))
 
@@ -355,4 +355,14 @@ def williams(spark, d):
 
 @query("w27_normalised_nav", f"{B} SELECT symbol, date, round(100 * close / first_value(close) OVER (PARTITION BY symbol ORDER BY date), 6) AS nav FROM v_bar")
 def normalised(spark, d):
-    return V.bars(spark, d).select("symbol", "date", F.round(100 * F.col("close") / F.first("close").over(S.by()), 6).alias("nav"))
+    return V.bars(spark, d).select("symbol", "date", F.round(F.try_divide(100 * F.col("close"), F.first("close").over(S.by())), 6).alias("nav"))
+
+
+@query("sf5_recency", f"""{E}, a AS (SELECT id, CASE WHEN id % 7 > 0 THEN (epoch_us((SELECT max(ts) FROM v_event)) - epoch_us(ts)) / 3600000000 END AS age FROM v_event)
+  SELECT id, round(coalesce(greatest(0.4, exp(-age / 72)), 0.7)::DOUBLE, 9) AS recency FROM a""")
+def recency(spark, d):
+    e = V.events(spark, d)
+    # every seventh event has no readable time
+    now = F.unix_micros(K.now_of(e).cast("timestamp"))
+    age = F.when(F.col("id") % 7 > 0, (now - F.unix_micros(F.col("ts").cast("timestamp"))) / 3_600_000_000)
+    return e.select("id", F.round(SC.recency(age), 9).alias("recency"))

@@ -339,3 +339,14 @@ def vote(spark, d):
 def walk_forward(spark, d):
     df = X.walk_forward(V.bars(spark, d), "rsi_reversion", 4)
     return df.select("symbol", "window", (F.round("inside", 6) + 0.0).alias("inside"), (F.round("outside", 6) + 0.0).alias("outside"))
+
+
+SHARES = [("Brand#1", 0.5), ("Brand#2", 1.5), ("Brand#3", 2.0)]
+
+
+@query("w28_portfolio_nav", f"""{B}, s(symbol, weight) AS (VALUES {', '.join(f"('{a}', {b}::DOUBLE)" for a, b in SHARES)}),
+  p AS (SELECT symbol, date, 100 * close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) AS norm FROM v_bar)
+  SELECT date, round(sum(norm * weight) / 4, 6) AS nav FROM p JOIN s USING (symbol) GROUP BY date HAVING count(*) = {len(SHARES)}""")
+def portfolio(spark, d):
+    weights = spark.createDataFrame(SHARES, "symbol string, weight double")
+    return Q.portfolio(V.bars(spark, d), weights).select("date", F.round("nav", 6).alias("nav"))
