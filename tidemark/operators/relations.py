@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,28 +88,32 @@ def normalised(
     companies: symbol, name, sector (or null). Both meet texts by equi-joins on words, so neither has to be small. Terms
     may have several words; one inside a longer term that stands there does not count.
     """
-    node = lambda kind, label: F.concat(F.lit(f"{kind}:"), F.replace(label, F.lit(" "), F.lit("_")))
     rows = df.select(F.col(key).alias("key"), text.alias("t"), country.alias("c"), severity.alias("s"))
 
-    def entity(kind: str, rank: int, source: DataFrame, label: Column, name: Column, salience: Column | None = None, confidence: float | None = None) -> DataFrame:
-        sure, weight = FOUND.get(kind, (confidence, None))
-        kind_of = {"company_sector": "sector", "titled": "person"}.get(kind, kind)
-        return source.select(
-            "key", node(kind_of, name).alias("node"), F.lit(kind_of).alias("node_type"), label.alias("label"), F.lit(confidence or sure).alias("confidence"),
-            (salience if salience is not None else F.lit(weight)).cast("double").alias("salience"), F.lit(rank).alias("rank"),
+    def entity(kind: str, label: Column, name: Column, sure: float, salience: Column, rank: int) -> Column:
+        return F.struct(
+            F.concat(F.lit(f"{kind}:"), F.replace(name, F.lit(" "), F.lit("_"))).alias("node"), F.lit(kind).alias("node_type"), label.alias("label"),
+            F.lit(sure).alias("confidence"), salience.cast("double").alias("salience"), F.lit(rank).alias("rank"),
         )
 
-    own = rows.where("c IS NOT NULL AND c <> '' AND c <> 'XX'")
-    out = entity("country", 0, own, F.col("c"), F.col("c"), F.least(F.lit(1.0), F.col("s") / 10), 1.0)
-    found = spans(rows.select("key", "t"), "key", F.col("t"), names)
-    for kind in ("country", "sector", "commodity", "person"):
-        out = out.unionByName(entity(kind, ORDER.index(kind) + 1, found.where(F.col("kind") == kind), F.col("label"), F.col("label")))
+    def known(kind: str, as_kind: str, label: Column) -> Column:
+        return entity(as_kind, label, label, FOUND[kind][0], F.lit(FOUND[kind][1]), ORDER.index(kind) + 1)
+
+    c, s = F.col("c"), F.col("s")
+    own = F.array(F.when(c.isNotNull() & ~c.isin("", "XX"), entity("country", c, c, 1.0, F.least(F.lit(1.0), s / 10), 0)))
+    behind = F.regexp_extract_all("t", F.lit(rf"\b(?:{'|'.join(map(re.escape, titles))})\s+([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1)) if titles else F.array().cast("array<string>")
+    titled = F.coalesce(F.transform(behind, lambda x: known("titled", "person", x)), F.array())
     words = F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(r"\$?\b[A-Z][A-Z0-9]*\b"), F.lit(0)), lambda x: F.ltrim(x, F.lit("$"))))
+    # one pass for what the row itself says, one join for terms, one for symbols
+    alone = rows.select("key", F.explode(F.concat(own, titled)).alias("e"))
+    found = spans(rows.select("key", "t"), "key", F.col("t"), names)
+    kinds = ("country", "sector", "commodity", "person")
+    term = F.coalesce(*[F.when(F.col("kind") == k, known(k, k, F.col("label"))) for k in kinds])
     firms = rows.select("key", "s", F.explode(words).alias("symbol")).join(companies, "symbol")
     label = F.concat("symbol", F.lit(" ("), "name", F.lit(")"))
-    out = out.unionByName(entity("company", 2, firms, label, F.col("symbol"), F.least(F.lit(1.0), F.col("s") / 8)))
-    out = out.unionByName(entity("company_sector", 3, firms.where("sector IS NOT NULL"), F.col("sector"), F.col("sector")))
-    titled = F.regexp_extract_all("t", F.lit(rf"\b(?:{'|'.join(titles)})\s+([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1))
-    out = out.unionByName(entity("titled", 7, rows.select("key", F.explode(titled).alias("label")), F.col("label"), F.col("label")))
+    company = entity("company", label, F.col("symbol"), FOUND["company"][0], F.least(F.lit(1.0), s / 8), 2)
+    sector = F.when(F.col("sector").isNotNull(), known("company_sector", "sector", F.col("sector")))
+    out = alone.unionByName(found.select("key", term.alias("e"))).unionByName(firms.select("key", F.explode(F.array(company, sector)).alias("e")))
+    out = out.where("e IS NOT NULL").select("key", "e.*")
     kept = out.groupBy("key", "node").agg(F.min_by(F.struct("node_type", "label", "confidence", "salience"), F.struct("rank", "label", -F.col("salience"))).alias("x"))
     return kept.select(F.col("key").alias(key), "node", "x.*")
