@@ -85,10 +85,3 @@ def cascade(spark, d):
 def paths(spark, d):
     pairs = spark.createDataFrame([("s1", "n3")], "a string, b string")
     return N.paths(edges(spark, d), pairs, 3, 5).select("a", "b", "place", "path", F.round("weight", 6).alias("weight"))
-
-
-@query("g13_betweenness")
-def betweenness(spark, d):
-    e = edges(spark, d)
-    pivots = G.nodes(e).where("node LIKE 'n%'")
-    return N.betweenness(e, pivots, 6).select("node", F.round("betweenness", 6).alias("betweenness"))
