@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("events_q", "series_q", "text_q", "graph_q", "ledger_q", "stream_q", "insight_q", "knowledge_q", "feeds_q", "digest_q", "filters_q", "lookups_q", "reports_q", "rules_q", "records_q", "impacts_q", "relations_q", "paths_q", "ranking_q")
+MODULES = ("events_q", "series_q", "text_q", "graph_q", "ledger_q", "stream_q", "insight_q", "knowledge_q", "feeds_q", "digest_q", "filters_q", "lookups_q", "reports_q", "rules_q", "records_q", "impacts_q", "relations_q", "paths_q", "ranking_q", "store_q")
 
 
 def query(name: str, sql: str | None = None):
