@@ -13,7 +13,7 @@ def weights(f, own):
     seen = Counter(f.tolist())
     size = len(own) - 1
     held = sorted(seen)
-    values = [1 + np.log(1 / max(seen[x] / size, s.COMMON)) for x in held]
+    values = [1 + np.log(size / seen[x]) for x in held]
     return s.Idf(np.array(held, np.uint64), np.array(values), 0.0)
 
 
@@ -25,7 +25,7 @@ def brute(docs):
     f, n, own = s.distinct_features(f, bounds)
     for k in range(len(docs)):
         a, b = own[k], own[k + 1]
-        raw[k] = f[a:b].tobytes() + n[a:b].astype(np.uint32).tobytes()
+        raw[k] = f[a:b].tobytes() + (n[a:b] * idf.of(f[a:b])).tobytes()
         for x in f[a:b]:
             holders[x].append(k)
     parent = list(range(len(docs)))
@@ -38,7 +38,7 @@ def brute(docs):
     pairs = Counter((a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :])
     close = set()
     for a, b in pairs:
-        if s.weighted_jaccard(raw[a], raw[b], idf) >= s.THRESHOLD:
+        if s.weighted_jaccard(raw[a], raw[b]) >= s.THRESHOLD:
             close.add((a, b))
             parent[top(b)] = top(a)
     low = {}
@@ -93,3 +93,38 @@ def test_inverse_frequencies(spark):
         f, bounds, _, _ = s.features(pa.array(["a b c d e", "b c d e f", "x y", "new words"], pa.string()))
         want = [1 + np.log(1 / max(n / 10, common)) for n in (5, 3, 1, 0)]
         assert np.allclose(idf.of(f), want)
+
+
+def test_no_floor_under_rare_shingles(spark):
+    """Among 10,000 texts: pairs that a floor of COMMON under the share of holders would link, or miss."""
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"x{v}" for v in rng.integers(0, 1 << 40, 6))) for i in range(9_700)]
+    common = " ".join(f"c{i}" for i in range(64))  # its shingles are in 9 documents
+    for k in range(60):
+        own = " ".join(f"o{k}x{i}" for i in range(60 + k))
+        odd = " ".join(f"p{k}x{i}" for i in range(8 + k % 30))
+        shared = own if k % 2 else f"{own} {common}"
+        docs += [(20_000 + 5 * k, shared), (20_001 + 5 * k, f"{shared} {odd}")]
+    docs += [(30_000 + i, f"{' '.join(f'y{i}x{j}' for j in range(9))} {common}") for i in range(9)]
+    docs += [(40_000 + i, "") for i in range(10_000 - len(docs))]
+    full = [d for d in docs if d[1]]
+    f, bounds, _, _ = s.features(pa.array([t for _, t in docs], pa.string()))
+    idf = weights(s.distinct_features(f, bounds)[0], bounds)
+    f, n, own = s.distinct_features(f, bounds)
+    assert len(docs) == 10_000 and len(full) < 10_000
+
+    def similarity(a, b, values):
+        raw = [f[own[k] : own[k + 1]].tobytes() + (n[own[k] : own[k + 1]] * values(f[own[k] : own[k + 1]])).tobytes() for k in (a, b)]
+        return s.weighted_jaccard(*raw)
+
+    place = {d[0]: k for k, d in enumerate(docs)}
+    floor = 1 + np.log(1 / s.COMMON)
+    differ, want = 0, {}
+    for k in range(60):
+        x, y = 20_000 + 5 * k, 20_001 + 5 * k
+        exact = similarity(place[x], place[y], idf.of)
+        differ += (exact >= s.THRESHOLD) != (similarity(place[x], place[y], lambda v: np.minimum(idf.of(v), floor)) >= s.THRESHOLD)
+        want[y] = x if exact >= s.THRESHOLD else y
+    got = {r.doc_id: r.class_id for r in s.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert differ and len(set(want.values())) > 20
+    assert {y: got[y] for y in want} == want

@@ -2,10 +2,14 @@
 
 A text's features are its shingles of five words; a shingle weighs its count
 times its inverse document frequency, 1 + ln(1 / f), where f is the share of all
-documents that hold it, counted exactly, and COMMON where it is less. So only
-the shingles that at least that share of documents hold have to be known to a
-task: at most (mean number of shingles in a text) / COMMON of them, whatever the
-number of documents.
+documents that hold it. Frequencies of all shingles are counted exactly, by
+ranges of their hashes, and stored. Candidates are drawn under weights with a
+floor: a shingle that less than the share COMMON of the documents hold weighs as
+if COMMON did, so that a task has to know only the others, at most (mean number
+of shingles in a text) / COMMON. The shingles of all texts that meet another in
+a bucket are then looked up in the stored frequencies, and every link is
+verified under the exact weights, without a floor. The limits on candidates
+leave room for what the floor changes: a pair at .8 may stand at .75 under it.
 
 Improved consistent weighted sampling draws one (shingle, level) per hash
 function; two texts draw the same with the probability of their weighted
@@ -29,6 +33,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 from functools import reduce
@@ -36,11 +41,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import zstandard
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens as T
+from tidemark.llm.blobs import add_up, pack, steps, unpack
 from tidemark.llm.common import Members, cut_lineage, read_table
 from tidemark.llm.graph import components
 
@@ -51,15 +58,19 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares about 72 of the draws; with 72, 68 and 64 it shares no band with a probability of 1e-4, 3e-3 and 3e-2.
 DRAWS, BANDS, ROWS = 90, 40, 7
 SUBSETS = np.stack([np.random.default_rng([7, b]).choice(DRAWS, ROWS, replace=False) for b in range(BANDS)])
-#: Of two bits of each draw a pair at the threshold shares 76.5 on average, and fewer than this with a probability of about 1e-5.
-LEAST_SHARED = 62
-#: Texts in buckets of CROWD or more have a finer signature, of FINE further draws. A pair at the threshold shares 435 of their
-#: two bits on average, and fewer than FINE_LEAST with a probability of about 4e-4.
-CROWD, FINE, FINE_LEAST = 32, 512, 407
-#: Shingles in a smaller share of the documents weigh as if this share had them.
+#: Of two bits of each draw a pair at .75 shares 73 on average, and fewer than this with a probability of about 5e-5.
+LEAST_SHARED = 58
+#: Texts in buckets of CROWD or more have a finer signature, of FINE further draws. A pair at .75 shares 416 of their
+#: two bits on average, and fewer than FINE_LEAST with a probability of about 1e-5.
+CROWD, FINE, FINE_LEAST = 32, 512, 378
+#: While candidates are drawn, shingles in a smaller share of the documents weigh as if this share had them.
 COMMON = 1e-3
-SLOT_BITS = 22
-LEAST_TEXTS = 4000
+#: Characters of text whose shingles a bucket of the frequencies holds.
+BUCKET_CHARS = 12_000_000
+MOST_BUCKETS = 65_536
+COUNT_SLICE = 3_000_000
+#: Shingles that a task holds before it adds up equal ones.
+HELD_SHINGLES = 4_000_000
 SLICE_BYTES = 1_000_000
 #: Texts that a bucket's centres are held against in one round: all of its centres at once where the bucket is small, else in turns.
 ROUND_TESTS = 4_000_000
@@ -108,70 +119,158 @@ class Idf(NamedTuple):
         return np.where(self.shingles[at] == s, self.values[at], self.rare)
 
 
-def _counted(docs: DataFrame, schema: str, first, each, last) -> DataFrame:
-    """Maps a task's texts: state = first(); each(state, distinct shingles of a slice, number of its texts); last(state) gives the columns."""
-    names = [x.split()[0] for x in schema.split(", ")]
+class Frequencies(NamedTuple):
+    """The number of texts, and of each shingle that several of them hold the number of those, packed by range of hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = first()
+    table: DataFrame
+    n_buckets: int
+    texts: int
+
+
+ROWS_BY_BUCKET = "bucket int, kind int, slice long, blob binary"
+
+
+def _by_bucket(s: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of sorted shingles, each a range of hashes."""
+    bucket = ((s >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(s) else np.zeros(1, np.int64)
+    for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _blob_rows(rows: list) -> pa.RecordBatch:
+    bucket, kind, number, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(number, pa.int64()), pa.array(blob, pa.binary())],
+        names=["bucket", "kind", "slice", "blob"],
+    )
+
+
+def frequencies(docs: DataFrame) -> Frequencies:
+    """Exact document frequencies: each slice of texts sends a blob of its distinct shingles to each bucket, where they are added up."""
+    size = docs.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_buckets = min(MOST_BUCKETS, max(8, -(-size.chars // BUCKET_CHARS)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, 0, SLICE_BYTES):
+            for part in T.slices(batch, 0, COUNT_SLICE):
                 s, bounds, _, _ = features(part.column(0))
-                each(state, distinct_features(s, bounds)[0], len(part))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last(state)], names=names)
+                s, n = np.unique(distinct_features(s, bounds)[0], return_counts=True)
+                n = n.astype(np.uint32)
+                rows = [(b, 0, 0, pack(steps(s[at]), n[at])) for b, at in _by_bucket(s, n_buckets)]
+                if rows:
+                    yield _blob_rows(rows)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(bucket: int, keys: list, counts: list) -> pa.RecordBatch:
+            s, n = add_up(keys, counts)
+            several = n > 1
+            return _blob_rows([(bucket, 0, 0, pack(steps(s[several]), n[several]))])
+
+        now, keys, counts, held = None, [], [], 0
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if bucket != now:
+                    if keys:
+                        yield whole(now, keys, counts)
+                    now, keys, counts, held = bucket, [], [], 0
+                s, n = unpack(raw.as_py())
+                keys.append(np.cumsum(s))
+                counts.append(n.astype(np.int64))
+                held += len(s)
+                if held > HELD_SHINGLES:
+                    s, n = add_up(keys, counts)
+                    keys, counts, held = [s], [n], 0
+        if keys:
+            yield whole(now, keys, counts)
+
+    parts = docs.select("text").mapInArrow(count, ROWS_BY_BUCKET).repartitionById(n_buckets, F.col("bucket"))
+    return Frequencies(cut_lineage(parts.sortWithinPartitions("bucket").mapInArrow(merge, ROWS_BY_BUCKET)), n_buckets, size.texts)
+
+
+def floored(counts: Frequencies, common: float = COMMON) -> Idf:
+    """Inverse document frequencies with a floor: those of the shingles that more than the share `common` of the texts hold, and the one of all others."""
+    least = common * counts.texts
 
-    return docs.select("text").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                s, n = unpack(raw.as_py())
+                s, often = np.cumsum(s), n > least
+                yield pa.RecordBatch.from_arrays([pa.array(s[often].view(np.int64)), pa.array(n[often])], names=["s", "n"])
+
+    found = counts.table.select("blob").mapInArrow(run, "s long, n long").toArrow()  # at most mean shingles of a text / common
+    s, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(s)
+    return Idf(s[order], 1 + np.log(counts.texts / n[order]), float(1 + np.log(1 / common)))
 
 
 def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
-    """Exact inverse document frequencies in two passes.
+    """The inverse document frequencies that candidates are drawn under."""
+    return floored(frequencies(docs), common)
+
+
+def weighed(vecs: DataFrame, counts: Frequencies) -> DataFrame:
+    """node, vec: the texts' shingles with their exact weights, counts times inverse document frequencies.
 
-    The first counts hashed slots. A task leaves out slots that less than half the share of its own texts have, which
-    together takes less than half the share from a slot's sum; so each shingle of the share is in a slot that keeps half of
-    it. The second counts the shingles of such slots. Tasks of few texts could leave out little, so partitions of less than
-    LEAST_TEXTS are put together for it (without a shuffle).
+    Batches of texts ask each bucket for the frequencies of their distinct shingles; answers come back by batch.
     """
-    whole = docs.select("text").coalesce(max(1, docs.count() // LEAST_TEXTS))
-
-    def slots(state, s, n):
-        state["n"] += n
-        np.add.at(state["total"], (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-
-    def frequent(state):
-        at = np.flatnonzero(state["total"] >= max(1, common / 2 * state["n"]))
-        return np.r_[-1, at].astype(np.int32), np.r_[state["n"], state["total"][at]].astype(np.int64)
-
-    made = _counted(whole, "slot int, n long", lambda: {"n": 0, "total": np.zeros(1 << SLOT_BITS, np.int32)}, slots, frequent)
-    sums = cut_lineage(made.groupBy("slot").agg(F.sum("n").alias("n")))
-    size = sums.where("slot = -1").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where((F.col("slot") >= 0) & (F.col("n") >= common / 2 * size)).select("slot").toArrow()
-    open_slots = np.zeros(1 << SLOT_BITS, dtype=bool)
-    open_slots[rows["slot"].to_numpy()] = True
-    packed = np.packbits(open_slots)  # half a megabyte
-
-    def shingles(state, s, n):
-        slot = (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        s = s[(packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
-        s, n = np.unique(s, return_counts=True)
-        state.append((s, n))
-        if len(state) > 16:
-            state[:] = [summed(state)]
-
-    def summed(state):
-        s = np.concatenate([x[0] for x in state]) if state else np.empty(0, np.uint64)
-        n = np.concatenate([x[1] for x in state]) if state else np.empty(0, np.int64)
-        s, back = np.unique(s, return_inverse=True)
-        return s, np.bincount(back, n, minlength=len(s)).astype(np.int64)
-
-    def all_counts(state):
-        s, n = summed(state)
-        return s.view(np.int64), n
-
-    exact = _counted(docs, "s long, n long", list, shingles, all_counts).groupBy("s").agg(F.sum("n").alias("n"))
-    found = exact.where(F.col("n") > common * size).toArrow()  # at most mean shingles of a text / common
-    s, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(s)
-    return Idf(s[order], 1 + np.log(size / n[order]), float(1 + np.log(1 / common)))
+    n_buckets, texts = counts.n_buckets, counts.texts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in T.slices(batch, 1, COUNT_SLICE):
+                nodes, raw = part.column(0).to_pylist(), part.column(1).to_pylist()
+                s = np.unique(np.concatenate([unpack_vec(x)[0] for x in raw]))
+                rows = [(b, 1, number, pack(steps(s[at]))) for b, at in _by_bucket(s, n_buckets)]
+                home = int(T.mix(np.array([number], dtype=np.uint64))[0] >> np.uint64(33)) % n_buckets
+                yield _blob_rows([*rows, (home, 2, number, zstandard.compress(pickle.dumps((nodes, raw)), 1))])
+                number += 1
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, often = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            out = []
+            for bucket, kind, number, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                raw = raw.as_py()
+                if bucket != now:
+                    now, held, often = bucket, np.empty(0, np.uint64), np.empty(0, np.int64)
+                if kind == 0:
+                    s, often = unpack(raw)
+                    held = np.cumsum(s)
+                    continue
+                if kind == 1:
+                    s = np.cumsum(unpack(raw)[0])
+                    n = np.ones(len(s), dtype=np.int64)
+                    if len(held):
+                        at = np.minimum(np.searchsorted(held, s), len(held) - 1)
+                        n = np.where(held[at] == s, often[at], 1)
+                    raw = pack(n)
+                out.append((bucket, kind, number, raw))
+            if out:
+                yield _blob_rows(out)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for kind, number, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if number != now:
+                    now, parts = number, []
+                if kind == 1:
+                    parts.append(unpack(raw.as_py())[0])
+                    continue
+                nodes, vecs = pickle.loads(zstandard.decompress(raw.as_py()))  # after all answers, which stand in order of buckets
+                both = [unpack_vec(x) for x in vecs]
+                s = np.unique(np.concatenate([x[0] for x in both]))
+                idf = 1 + np.log(texts / np.concatenate(parts)) if len(s) else np.empty(0)
+                out = [x.tobytes() + (n * idf[np.searchsorted(s, x)]).tobytes() for x, n in both]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], names=["node", "vec"])
+
+    rows = counts.table.unionByName(vecs.select("node", "vec").mapInArrow(ask, ROWS_BY_BUCKET))
+    rows = rows.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "slice")
+    back = rows.mapInArrow(answer, ROWS_BY_BUCKET).repartition("slice").sortWithinPartitions("slice", "kind", "bucket")
+    return back.mapInArrow(finish, "node binary, vec binary")
 
 
 def gamma_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -294,14 +393,15 @@ def vectors(docs: DataFrame, wanted: DataFrame, idf: Idf) -> DataFrame:
     return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_vec(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and counts."""
     n = len(raw) // 12
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
 
 
-def weighted_jaccard(x: bytes, y: bytes, idf: Idf) -> float:
-    (a, n), (b, m) = unpack(x), unpack(y)
-    w, v = n * idf.of(a), m * idf.of(b)
+def weighted_jaccard(x: bytes, y: bytes) -> float:
+    """Of two texts' shingles with weights."""
+    (a, w), (b, v) = ((np.frombuffer(r, np.uint64, len(r) // 16), np.frombuffer(r, np.float64, len(r) // 16, len(r) // 2)) for r in (x, y))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     common = np.minimum(w[i], v[j]).sum()
     return float(common / (w.sum() + v.sum() - common))
@@ -321,12 +421,12 @@ def promising(a: str = "sig", b: str = "centre_sig", fine: str = "fine", centre_
     return (unlike(a, b, 3) <= DRAWS - LEAST_SHARED) & finer
 
 
-def verified(pairs: DataFrame, vecs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y) whose weighted Jaccard similarity reaches the threshold, with similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            j = [weighted_jaccard(p.as_py(), q.as_py(), idf) for p, q in zip(b.column(2), b.column(3), strict=True)]
+            j = [weighted_jaccard(p.as_py(), q.as_py()) for p, q in zip(b.column(2), b.column(3), strict=True)]
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], names=["x", "y", "similarity"])
             yield out.filter(pa.compute.greater_equal(out.column(2), threshold))
 
@@ -344,7 +444,8 @@ def buckets(texts: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id of every row: the smallest doc_id of its class of near-duplicates."""
-    idf = inverse_frequencies(docs)
+    counts = frequencies(docs)
+    idf = floored(counts)
     rows = cut_lineage(sketches(docs, idf))
     usable = rows.where("doc_id IS NOT NULL AND size(bands) > 0")
     texts = cut_lineage(usable.dropDuplicates(["node"]))
@@ -354,7 +455,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = cut_lineage(texts.select("doc_id", "t", "node", "sig").join(nodes, "node"))
     vecs = cut_lineage(vectors(docs, nodes.select("doc_id", "t", "node", "crowd"), idf))
     members = cut_lineage(met.join(nodes.join(vecs, "node").select("node", "degree", "sig", "fine"), "node"))
-    vecs = vecs.select("node", "vec")
+    vecs = cut_lineage(weighed(vecs, counts))
     central = F.max(F.struct("degree", "node", "sig", "fine")).alias("c")
     hubs = members.groupBy("key").agg(central).select(
         "key", F.col("c.node").alias("hub"), F.col("c.sig").alias("centre_sig"), F.col("c.fine").alias("centre_fine")
@@ -362,7 +463,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hubs = cut_lineage(hubs)
     stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising())
     tested = cut_lineage(stars.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct())
-    links = cut_lineage(verified(tested, vecs, idf, threshold))
+    links = cut_lineage(verified(tested, vecs, threshold))
     labels = components(links, "x", "y")
     turns = hubs.select("key", F.col("hub").alias("node"))
     while True:
@@ -385,7 +486,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if fresh.isEmpty():
             continue
         tested = cut_lineage(tested.union(fresh))
-        found = cut_lineage(verified(fresh, vecs, idf, threshold))
+        found = cut_lineage(verified(fresh, vecs, threshold))
         if not found.isEmpty():  # else the classes stay as they are
             links = cut_lineage(links.union(found))
             labels = components(links, "x", "y")
