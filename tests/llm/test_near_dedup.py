@@ -95,8 +95,8 @@ def test_inverse_frequencies(spark):
         assert np.allclose(idf.of(f), want)
 
 
-def test_no_floor_under_rare_shingles(spark):
-    """Among 10,000 texts: pairs that a floor of COMMON under the share of holders would link, or miss."""
+def test_without_a_floor_under_rare_shingles(spark):
+    """Among 10,000 texts: pairs that a floor of COMMON under the share of holders would link or miss, without and with it."""
     rng = np.random.default_rng(4)
     docs = [(i, " ".join(f"x{v}" for v in rng.integers(0, 1 << 40, 6))) for i in range(9_700)]
     common = " ".join(f"c{i}" for i in range(64))  # its shingles are in 9 documents
@@ -119,12 +119,13 @@ def test_no_floor_under_rare_shingles(spark):
 
     place = {d[0]: k for k, d in enumerate(docs)}
     floor = 1 + np.log(1 / s.COMMON)
-    differ, want = 0, {}
+    want, floored = {}, {}
     for k in range(60):
         x, y = 20_000 + 5 * k, 20_001 + 5 * k
-        exact = similarity(place[x], place[y], idf.of)
-        differ += (exact >= s.THRESHOLD) != (similarity(place[x], place[y], lambda v: np.minimum(idf.of(v), floor)) >= s.THRESHOLD)
-        want[y] = x if exact >= s.THRESHOLD else y
-    got = {r.doc_id: r.class_id for r in s.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
-    assert differ and len(set(want.values())) > 20
-    assert {y: got[y] for y in want} == want
+        for out, values in ((want, idf.of), (floored, lambda v: np.minimum(idf.of(v), floor))):
+            out[y] = x if similarity(place[x], place[y], values) >= s.THRESHOLD else y
+    assert want != floored and len(set(want.values())) > 20
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    for out, least in ((want, 0.0), (floored, s.COMMON)):
+        got = {r.doc_id: r.class_id for r in s.classes(df, floor=least).collect()}
+        assert {y: got[y] for y in out} == out

@@ -2,14 +2,17 @@
 
 A text's features are its shingles of five words; a shingle weighs its count
 times its inverse document frequency, 1 + ln(1 / f), where f is the share of all
-documents that hold it. Frequencies of all shingles are counted exactly, by
-ranges of their hashes, and stored. Candidates are drawn under weights with a
-floor: a shingle that less than the share COMMON of the documents hold weighs as
-if COMMON did, so that a task has to know only the others, at most (mean number
-of shingles in a text) / COMMON. The shingles of all texts that meet another in
-a bucket are then looked up in the stored frequencies, and every link is
-verified under the exact weights, without a floor. The limits on candidates
-leave room for what the floor changes: a pair at .8 may stand at .75 under it.
+documents that hold it, and the floor where it is less. Frequencies of all
+shingles are counted exactly, by ranges of their hashes, and stored; those of
+all texts that meet another in a bucket are looked up there, and every link is
+verified under these weights. The floor is COMMON unless the caller names a
+lower one. Without any (0) a change that one text alone has weighs far more than
+what a large group of copies shares, and such a group falls apart.
+
+Candidates are drawn under the floor COMMON, so that a task has to know only the
+shingles above it, at most (mean number of shingles in a text) / COMMON. With a
+lower floor the limits on candidates are wider, as a pair at .8 may stand at .75
+under COMMON.
 
 Improved consistent weighted sampling draws one (shingle, level) per hash
 function; two texts draw the same with the probability of their weighted
@@ -58,11 +61,13 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares about 72 of the draws; with 72, 68 and 64 it shares no band with a probability of 1e-4, 3e-3 and 3e-2.
 DRAWS, BANDS, ROWS = 90, 40, 7
 SUBSETS = np.stack([np.random.default_rng([7, b]).choice(DRAWS, ROWS, replace=False) for b in range(BANDS)])
-#: Of two bits of each draw a pair at .75 shares 73 on average, and fewer than this with a probability of about 5e-5.
-LEAST_SHARED = 58
-#: Texts in buckets of CROWD or more have a finer signature, of FINE further draws. A pair at .75 shares 416 of their
-#: two bits on average, and fewer than FINE_LEAST with a probability of about 1e-5.
-CROWD, FINE, FINE_LEAST = 32, 512, 378
+#: Of two bits of each draw a pair at the threshold shares 76.5 on average, and fewer than this with a probability of about 1e-5.
+LEAST_SHARED = 62
+#: Texts in buckets of CROWD or more have a finer signature, of FINE further draws. A pair at the threshold shares 435 of their
+#: two bits on average, and fewer than FINE_LEAST with a probability of about 4e-4.
+CROWD, FINE, FINE_LEAST = 32, 512, 407
+#: Both limits where the floor is lower than COMMON: a pair at .75 misses them with probabilities of 5e-5 and 1e-5.
+WIDE = 58, 378
 #: While candidates are drawn, shingles in a smaller share of the documents weigh as if this share had them.
 COMMON = 1e-3
 #: Characters of text whose shingles a bucket of the frequencies holds.
@@ -210,8 +215,8 @@ def inverse_frequencies(docs: DataFrame, common: float = COMMON) -> Idf:
     return floored(frequencies(docs), common)
 
 
-def weighed(vecs: DataFrame, counts: Frequencies) -> DataFrame:
-    """node, vec: the texts' shingles with their exact weights, counts times inverse document frequencies.
+def weighed(vecs: DataFrame, counts: Frequencies, floor: float) -> DataFrame:
+    """node, vec: the texts' shingles with their weights, counts times inverse document frequencies; shares of holders under the floor weigh as it.
 
     Batches of texts ask each bucket for the frequencies of their distinct shingles; answers come back by batch.
     """
@@ -263,7 +268,7 @@ def weighed(vecs: DataFrame, counts: Frequencies) -> DataFrame:
                 nodes, vecs = pickle.loads(zstandard.decompress(raw.as_py()))  # after all answers, which stand in order of buckets
                 both = [unpack_vec(x) for x in vecs]
                 s = np.unique(np.concatenate([x[0] for x in both]))
-                idf = 1 + np.log(texts / np.concatenate(parts)) if len(s) else np.empty(0)
+                idf = 1 + np.log(texts / np.maximum(np.concatenate(parts), floor * texts)) if len(s) else np.empty(0)
                 out = [x.tobytes() + (n * idf[np.searchsorted(s, x)]).tobytes() for x, n in both]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], names=["node", "vec"])
 
@@ -415,10 +420,10 @@ def unlike(a: str, b: str, words: int) -> Column:
     return reduce(lambda x, y: x + y, each)
 
 
-def promising(a: str = "sig", b: str = "centre_sig", fine: str = "fine", centre_fine: str = "centre_fine") -> Column:
-    """Whether two signatures are so alike that the texts are worth comparing."""
-    finer = (F.size(fine) == 0) | (F.size(centre_fine) == 0) | (unlike(fine, centre_fine, FINE // 32) <= FINE - FINE_LEAST)
-    return (unlike(a, b, 3) <= DRAWS - LEAST_SHARED) & finer
+def promising(least: int, fine_least: int) -> Column:
+    """Whether the signatures of a text and a centre are so alike that the texts are worth comparing."""
+    finer = (F.size("fine") == 0) | (F.size("centre_fine") == 0) | (unlike("fine", "centre_fine", FINE // 32) <= FINE - fine_least)
+    return (unlike("sig", "centre_sig", 3) <= DRAWS - least) & finer
 
 
 def verified(pairs: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
@@ -442,8 +447,9 @@ def buckets(texts: DataFrame) -> DataFrame:
     return cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id of every row: the smallest doc_id of its class of near-duplicates."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, floor: float = COMMON) -> DataFrame:
+    """doc_id, class_id of every row: the smallest doc_id of its class of near-duplicates; floor: the share of holders below which idf does not rise."""
+    limits = (LEAST_SHARED, FINE_LEAST) if floor >= COMMON else WIDE
     counts = frequencies(docs)
     idf = floored(counts)
     rows = cut_lineage(sketches(docs, idf))
@@ -455,13 +461,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = cut_lineage(texts.select("doc_id", "t", "node", "sig").join(nodes, "node"))
     vecs = cut_lineage(vectors(docs, nodes.select("doc_id", "t", "node", "crowd"), idf))
     members = cut_lineage(met.join(nodes.join(vecs, "node").select("node", "degree", "sig", "fine"), "node"))
-    vecs = cut_lineage(weighed(vecs, counts))
+    vecs = cut_lineage(weighed(vecs, counts, floor))
     central = F.max(F.struct("degree", "node", "sig", "fine")).alias("c")
     hubs = members.groupBy("key").agg(central).select(
         "key", F.col("c.node").alias("hub"), F.col("c.sig").alias("centre_sig"), F.col("c.fine").alias("centre_fine")
     )
     hubs = cut_lineage(hubs)
-    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising())
+    stars = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & promising(*limits))
     tested = cut_lineage(stars.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct())
     links = cut_lineage(verified(tested, vecs, threshold))
     labels = components(links, "x", "y")
@@ -480,7 +486,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if centres.isEmpty():
             break
         turns = cut_lineage(turns.union(centres.select("key", F.col("centre").alias("node"))))
-        pairs = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & promising())
+        pairs = named.join(centres, "key").where((F.col("label") != F.col("centre_label")) & promising(*limits))
         pairs = pairs.select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y")).distinct()
         fresh = cut_lineage(pairs.join(tested, ["x", "y"], "left_anti"))
         if fresh.isEmpty():
