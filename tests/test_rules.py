@@ -59,3 +59,12 @@ def test_tone_and_filters(spark):
     assert rows[1].score == -0.8 and rows[1].intensity == "High" and rows[1].market_stress == 0.2
     assert rows[2].tone == "Positive" and rows[3].tone == rows[4].tone == "Neutral"
     assert sorted(r.id for r in filters.unenriched(df, "body", ["id"], 5).collect()) == [3]
+
+
+def test_similar_to_breaks_near_ties_by_key(spark):
+    # equal but for the last bits of a sum: the smaller key comes first
+    rows = [(0, "x", 1.0), (7, "x", 0.5 + 1e-14), (3, "x", 0.5), (5, "x", 0.6), (9, "y", 1.0)]
+    w = spark.createDataFrame(rows, "doc_id int, term string, weight double")
+    seeds = spark.createDataFrame([(0,)], "doc_id int")
+    got = rules.similar_to(w, "doc_id", seeds, 0.25, 2).collect()
+    assert sorted((r["rank"], r.doc_id) for r in got) == [(1, 5), (2, 3)]
