@@ -97,3 +97,14 @@ def test_later_outcomes(spark):
     p = spark.createDataFrame(prices, "symbol string, price double, ts timestamp")
     got = [(r.id, r.later, r.outcome) for r in R.later_outcomes(s, p).orderBy("id").collect()]
     assert got == [(1, 99.8, "NEUTRAL"), (2, 120.0, "LOSS"), (3, None, None), (4, 5.0, None)]
+
+
+def test_later_outcomes_reads_a_symbol_once(spark):
+    # a frame to a key's end is gone through again for every row
+    n = 3000
+    day = F.timestamp_seconds(F.col("id") * 60)
+    s = spark.range(n).select("id", F.lit("a").alias("symbol"), F.lit("BUY").alias("action"), F.lit(1.0).alias("price"), day.alias("ts"))
+    p = spark.range(n).select(F.lit("a").alias("symbol"), F.col("id").cast("double").alias("price"), day.alias("ts"))
+    df = R.later_outcomes(s, p)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    assert {r.id: r.later for r in df.collect()} == {i: i + 1441.0 if i + 1441 < n else None for i in range(n)}

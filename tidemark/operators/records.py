@@ -145,9 +145,10 @@ def later_outcomes(signals: DataFrame, prices: DataFrame, after: str = "1 day",
     known = prices.where("price IS NOT NULL").select(
         "symbol", F.col("ts").alias("t"), F.lit(0).alias("kind"), *[none.alias(c) for c in ("id", "action", "price", "ts")], F.col("price").cast("double").alias("later")
     )
-    # at one time prices stand before signals, so that only later ones follow; of equal times the highest price counts
-    ahead = W.partitionBy("symbol").orderBy("t", "kind", F.desc("later")).rowsBetween(1, W.unboundedFollowing)
-    df = asked.unionByName(known).withColumn("later", F.first("later", ignorenulls=True).over(ahead)).where("kind = 1")
+    # read from the newest back: a frame that only grows costs a step a row, one that runs to a key's end as many as the key has rows.
+    # at one time signals stand before prices, so that only later ones are behind them; of equal times the highest price counts
+    behind = W.partitionBy("symbol").orderBy(F.desc("t"), F.desc("kind"), "later").rowsBetween(W.unboundedPreceding, 0)
+    df = asked.unionByName(known).withColumn("later", F.last("later", ignorenulls=True).over(behind)).where("kind = 1")
     change = (F.col("later") / F.nullif(F.col("price"), F.lit(0.0)) - 1) * 100
     df = df.withColumn("change", F.when(F.col("action") == "SELL", 0 - change).otherwise(change))
     label = F.when(F.col("change") > band, "WIN").when(F.col("change") < -band, "LOSS").when(F.col("change").isNotNull(), "NEUTRAL")
