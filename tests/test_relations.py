@@ -93,6 +93,21 @@ def test_relationships(spark):
     assert R.relationships(df.limit(0), "id", "v").count() == 0
 
 
+def test_relationships_of_one_hot_bucket(spark, monkeypatch):
+    # slices of a bucket, vectors of several lengths, and equal cosines, which stand by key
+    monkeypatch.setattr(R, "SLICE", 9)
+    rng = random.Random(2)
+    events = [(i, DAY + dt.timedelta(minutes=i), "A", "x", rng.randint(1, 3) * 1.0, rng.choice([[1.0, 0.0], [1.0, 1.0], [2.0, 2.0], [0.5, 0.1, 3.0]])) for i in range(100)]
+    df = spark.createDataFrame([*events, (200, DAY, "A", "x", 9.0, [None, 1.0])], "id int, ts timestamp, country string, category string, severity double, v array<double>")
+    got = R.relationships(df, "id", "v", most=30)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    want = brute_relations([e for e in events if len(e[5]) == 2], most=30)
+    few = {(r.id, r.target): r.place for r in R.relationships(df.where("size(v) = 2"), "id", "v", most=30).collect()}
+    assert few == {k: v[0] for k, v in want.items()} and len(few) > 300
+    size = {e[0]: len(e[5]) for e in events}
+    assert all(size[r.id] == size[r.target] for r in got.collect())
+
+
 def test_terms_of_several_words(spark):
     names = spark.createDataFrame(
         [("United Arab Emirates", "country"), ("emirates", "firm"), ("arab", "people"), ("new york", "place"), ("york times", "paper"), ("a", "x"), ("a", "y"), ("...", "none")],
