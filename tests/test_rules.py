@@ -68,3 +68,11 @@ def test_similar_to_breaks_near_ties_by_key(spark):
     seeds = spark.createDataFrame([(0,)], "doc_id int")
     got = rules.similar_to(w, "doc_id", seeds, 0.25, 2).collect()
     assert sorted((r["rank"], r.doc_id) for r in got) == [(1, 5), (2, 3)]
+
+
+def test_topic_vector_reads_words_once(spark):
+    df = spark.createDataFrame([(1, "a a b"), (2, "x"), (3, None), (4, "")], "id int, body string")
+    out = df.select("id", T.topic_vector(F.col("body"), [["a"], ["b", "c"]]).alias("v"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {r.id: r.v for r in out.collect()}
+    assert got[1] == [0.8944, 0.4472] and got[2] == got[3] == got[4] == [0.0, 0.0]
