@@ -76,3 +76,11 @@ def test_topic_vector_reads_words_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     got = {r.id: r.v for r in out.collect()}
     assert got[1] == [0.8944, 0.4472] and got[2] == got[3] == got[4] == [0.0, 0.0]
+
+
+def test_keywords_move_texts_only(spark):
+    df = spark.createDataFrame([(1, "Alpha", "beta beta alpha"), (1, "beta", ""), (2, "gamma", None), (3, "x", "y")], "id int, title string, body string")
+    out = T.keywords(df.repartition(3), "id", F.col("title"), F.coalesce("body", F.lit("")), 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "alpha", 3, 2), (1, "beta", 4, 1), (2, "gamma", 2, 1)]
