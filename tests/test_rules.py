@@ -41,6 +41,23 @@ def test_pairs_lose_none(spark):
     assert pairs == {(0, 1), *((5, i) for i in range(6, 11))}
 
 
+def test_pairs_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 4)
+    monkeypatch.setattr(T, "STEP", 50)
+    texts = [" ".join(f"{'abcdefg'[(i * 3 + j) % 7]}ord" for j in range(i % 5)) + " same text" for i in range(40)] + ["alone", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string")
+    w = T.tfidf(df, "doc_id", F.col("body"))
+    of = {}
+    for r in w.collect():
+        of.setdefault(r.doc_id, {})[r.term] = r.w
+    want = {(a, b): x for a in of for b in of if a < b and (x := sum(v * of[b].get(t, 0) for t, v in of[a].items())) >= 0.4}
+    pairs = T.similar_pairs(w, "doc_id", 0.4)
+    assert "unboundedfollowing" not in pairs._jdf.queryExecution().toString().lower()
+    got = {(r.a, r.b): r.cosine for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(got) > 100
+    assert T.similar_pairs(w.limit(0), "doc_id", 0.4).count() == 0
+
+
 def test_twins_and_zeros(spark):
     at = datetime(2024, 1, 1)
     left = spark.createDataFrame([(1, at), (1, at)], "k int, ts timestamp_ntz")
