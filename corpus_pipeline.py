@@ -34,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 500)  # ids and decoded texts go back, several times what came
     return bpe.encode(docs).drop("decoded")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe
@@ -45,3 +46,9 @@ def test_table(spark, sf_dir):
     for r in bpe.query(spark, sf_dir).collect():
         ids = tok.encode(text[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_batches_that_leave_a_task_are_small():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(["some words " * 30_000] * 8)], names=["doc_id", "text"])
+    out = list(bpe.encoder(bpe.default_path(), with_ids=True)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 8 and max(b.num_rows for b in out) <= 3

@@ -39,8 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = regex.compile(r"\s+")
 CONTROL = re.compile("[\x1c-\x1f]")
-#: Characters of text that share one trie; longer texts stand alone.
-SLICE_CHARS = 4_000_000
+#: Characters of text that share one trie and leave the task as one batch; longer texts stand alone.
+SLICE_CHARS = 1_000_000
 #: Words whose encoding a task keeps for its later slices.
 KEPT_WORDS = 400_000
 #: Pairs of tokens whose side-by-side test an encoder keeps.
