@@ -1,5 +1,6 @@
 """Lookups, rules and grouping by hand-computed rows; nulls, empties, ties and zeros."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -101,3 +102,11 @@ def test_keywords_move_texts_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in out.collect()) == [(1, "alpha", 3, 2), (1, "beta", 4, 1), (2, "gamma", 2, 1)]
+
+
+def test_tfidf_counts_where_texts_are(spark):
+    df = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta"), (3, None)], "doc_id int, body string")
+    w = T.tfidf(df, "doc_id", F.col("body"))
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+, term#\d+", plan)
+    assert {(r.doc_id, r.term, r.df) for r in w.collect()} == {(1, "alpha", 1), (1, "beta", 2), (2, "beta", 2)}
