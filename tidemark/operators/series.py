@@ -271,5 +271,8 @@ def reaction(df: DataFrame, events: DataFrame, key: str) -> DataFrame:
         F.try_divide(F.avg(F.abs("ret")).over(by().rowsBetween(1, 5)), F.avg(F.abs("ret")).over(before(10))).alias("spike"),
     )
     days = df.select("symbol", F.col("date").alias("day"), "date")
-    first = forward_as_of(events.select(key, "symbol", "on"), days, ["symbol"], "on", "day", "date").where("date IS NOT NULL")
-    return first.join(df, ["symbol", "date"])
+    # days meet bars, not events: a symbol's window holds each day once, however many events it has
+    asked = events.select("symbol", "on").distinct()
+    first = forward_as_of(asked, days, ["symbol"], "on", "day", "date").where("date IS NOT NULL")
+    at = first.join(df, ["symbol", "date"])
+    return events.select(key, "symbol", "on").join(at, ["symbol", "on"]).select("symbol", "date", key, "on", *df.columns[2:])

@@ -304,8 +304,8 @@ def thin(spark, d):
   SELECT key, symbol, date, round(coalesce(c1, cl) / close - 1, 6) + 0.0 AS r1, round(coalesce(c2, cl) / close - 1, 6) + 0.0 AS r2, round(coalesce(c5, cl) / close - 1, 6) + 0.0 AS r5,
   round(spike, 6) AS spike FROM f JOIN x USING (symbol, date)""")
 def reaction(spark, d):
-    line = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    o = V.table(spark, d, "orders").join(line, F.col("l_orderkey") == F.col("o_orderkey"))
+    line = V.with_orders(V.table(spark, d, "lineitem"), V.table(spark, d, "orders"))
+    o = line.join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     events = o.select(F.col("o_orderkey").alias("key"), F.col("p_brand").alias("symbol"), F.to_date("o_orderdate").alias("on")).distinct()
     df = S.reaction(V.bars(spark, d), events, "key")
     return df.select("key", "symbol", "date", *[(F.round(c, 6) + 0.0).alias(c) for c in ("r1", "r2", "r5", "spike")])
