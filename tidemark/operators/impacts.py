@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as C
 from tidemark.operators import series as S
+from tidemark.session import settle
 
 # Verbs that join two ends of a causal pair, and of a pair that moves together.
 CAUSES = ["caused", "cause", "led to", "lead to", "resulted in", "result in", "triggered", "trigger", "drove", "pushed", "push", "boosted", "boost", "lowered", "lower", "raised", "raise", "increased", "increase", "decreased", "decrease"]
@@ -212,9 +213,10 @@ def overlay(events: DataFrame, bars: DataFrame, key: str, most: int = 50, severi
     numbered from 1 by date. Equal ranks stand by key.
     """
     span = bars.groupBy("symbol").agg(F.min("date").alias("__from"), F.max("date").alias("__to"))
-    near = events.where((F.col("severity") >= severity) & (F.col("relevance") >= relevance)).join(span, "symbol")
+    near = events.where((F.col("severity") >= severity) & (F.col("relevance") >= relevance)).join(F.broadcast(span), "symbol")  # a row a symbol; events stay where they are until the best of each task are known
     rank = W.partitionBy("symbol").orderBy(F.desc(F.round(F.col("relevance") * F.col("severity"), 9)), key)
     kept = near.where("on BETWEEN __from AND __to").withColumn("place", F.row_number().over(rank)).where(F.col("place") <= most).drop("__from", "__to")
+    kept = settle(kept)  # at most `most` rows a symbol, read for the clusters and for the reactions
     line = W.partitionBy("symbol", "category").orderBy("on", key)
     apart = F.coalesce(F.datediff("on", F.lag("on").over(line)) > 1, F.lit(True)).cast("int")
     clustered = kept.withColumn("__new", apart).withColumn("cluster", F.sum("__new").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
