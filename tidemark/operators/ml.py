@@ -26,7 +26,7 @@ def features(bars: DataFrame, warm_up: int = 60) -> DataFrame:
 def train_direction(matrix: DataFrame, trees: int = 80, depth: int = 4, seed: int = 7) -> PipelineModel:
     """Scaler and gradient-boosted trees on the first four fifths of each symbol's bars."""
     cut = matrix.groupBy("symbol").agg((F.max("bar") * 0.8).alias("cut"))
-    train = matrix.join(cut, "symbol").where("bar <= cut AND label IS NOT NULL")
+    train = settle(matrix.join(cut, "symbol").where("bar <= cut AND label IS NOT NULL"))  # each tree reads it more than once
     stages = [
         VectorAssembler(inputCols=list(FEATURES), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ml as M
 from tidemark.plans.catalog import ORACLES, query
-from tidemark.session import shared_path
+from tidemark.session import settle, shared_path
 from tidemark.sources import views as V
 from tidemark.streaming import jobs as J
 
@@ -121,5 +121,5 @@ def features(spark, d):
 
 @query("m2_direction")
 def direction(spark, d):
-    matrix = M.features(V.bars(spark, d))
+    matrix = settle(M.features(V.bars(spark, d)))
     return M.direction_signals(M.train_direction(matrix, trees=10), matrix)
