@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
+from tidemark.session import settle
 
 
 def performance(df: DataFrame, periods: int = 252, rf: float = 0.05) -> DataFrame:
@@ -96,7 +97,7 @@ def principal_components(df: DataFrame, k: int) -> DataFrame:
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    r = S.returns(df).where("ret IS NOT NULL")
+    r = settle(S.returns(df).where("ret IS NOT NULL").select("symbol", "date", "ret"))  # read again by every pass of the scaler and the components
     names = sorted(x.symbol for x in r.select("symbol").distinct().collect())  # the columns of the matrix
     wide = r.groupBy("date").pivot("symbol", names).agg(F.first("ret")).na.drop()
     for i, n in enumerate(names):
