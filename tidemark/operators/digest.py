@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import series as S
 from tidemark.operators.kpis import top_per_group
 from tidemark.operators.text import hits, terms
+from tidemark.session import settle
 
 
 def label_hits(df: DataFrame, key: str, text: Column, patterns: dict[str, tuple[list[str], float]]) -> DataFrame:
@@ -47,15 +48,19 @@ def title_groups(df: DataFrame, key: str, title: Column, block: str, least: floa
     """
     words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z]{4,}"), F.lit(0)))), 1, 10)
     rows = df.select(key, F.col(block).alias("block"), words.alias("w")).where(F.size("w") > 0)
-    first = rows.groupBy("block", "w").agg(F.min(key).alias("a"))
+    rows = settle(rows)
+    first = settle(rows.groupBy("block", "w").agg(F.min(key).alias("a")))
     star = rows.join(first, ["block", "w"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
-    each = first.select("a", "block", F.size("w").alias("n"), F.explode("w").alias("term"))
+    each = first.select("a", "block", F.explode("w").alias("term"))
     each = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term")
-    place = F.row_number().over(W.partitionBy("a").orderBy("df", "term"))
-    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("a", "block", "term")
-    pairs = prefix.join(prefix.withColumnRenamed("a", "b"), ["block", "term"]).where("a < b").select("a", "b").distinct()
-    sets = first.select("a", "w")
-    both = pairs.join(sets, "a").join(sets.select(F.col("a").alias("b"), F.col("w").alias("wb")), "b")
+    # a set is at most ten words; pairs are judged where they meet, by the first word that their prefixes share, so none of them travels
+    sets = each.groupBy("a", "block").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("s")).select("a", "block", F.transform("s", lambda x: x["term"]).alias("w"))
+    n = F.size("w")
+    sets = settle(sets.withColumn("p", F.slice("w", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))))
+    one = sets.select("block", F.explode("p").alias("term"), "a", "w", "p")
+    other = sets.select("block", F.explode("p").alias("term"), F.col("a").alias("b"), F.col("w").alias("wb"), F.col("p").alias("pb"))
+    near = (F.col("a") < F.col("b")) & (F.least(n, F.size("wb")) >= least * F.greatest(n, F.size("wb")) - 1e-9)
+    both = one.join(other, ["block", "term"]).where(near & (F.try_element_at(F.array_intersect("p", "pb"), F.lit(1)) == F.col("term")))
     j = F.size(F.array_intersect("w", "wb")) / F.size(F.array_union("w", "wb"))
     return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= least).union(star)
 
