@@ -8,12 +8,6 @@ from tidemark.operators import digest as D
 from tidemark.operators import ranking as R
 
 
-def shuffles(df, key):
-    """Shuffles by the column whose name is key, in the plan before it runs."""
-    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
-    return len(re.findall(rf"Exchange hashpartitioning\({key}#\d+, ", plan))
-
-
 def titles(spark, n=40):
     words = ["alpha", "betas", "gamma", "delta", "omega", "sigma", "kappa"]
     rows = [(i, " ".join(w for j, w in enumerate(words) if (i * 7 + j * j) % 5 != 0), "en" if i % 3 else None) for i in range(n)]
@@ -49,3 +43,14 @@ def test_grams_travel_once_by_owner(spark):
         assert out.count() > 0
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_words_of_profiles_are_counted_where_their_texts_are(spark):
+    df = titles(spark).withColumnRenamed("lang", "source")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = D.profiles(df, "source", "id", F.col("title"), 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert not re.search(r"Exchange hashpartitioning\((source#\d+, )?id#\d+[^,]*, term#", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+", plan)) == 2  # texts, then weights

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
 from tidemark.operators.kpis import top_per_group
-from tidemark.operators.text import hits, terms
+from tidemark.operators.text import hits, words
 from tidemark.session import settle
 
 
@@ -75,12 +75,18 @@ def leader_groups(df: DataFrame, keys: list[str], hours: float) -> DataFrame:
     return groups.withColumn("severity", F.least(F.lit(10.0), F.col("top") + 0.5 * F.ln("n"))).drop("top", "cluster")
 
 
+def _dealt(df: DataFrame, owner: str, key: str, text: Column) -> DataFrame:
+    """owner, key, t: texts dealt out by key before they become words, so that counting moves no words."""
+    return df.where(F.col(key).isNotNull()).select(owner, key, text.alias("t")).repartition(key)
+
+
 def profiles(df: DataFrame, owner: str, key: str, text: Column, top: int) -> DataFrame:
     """Per owner the words of highest mean TF-IDF over the owner's texts: owner, term, w."""
-    t = terms(df.select(owner, key, text.alias("t")), key, F.col("t"), 3).join(df.select(owner, key), key)
+    t = _dealt(df, owner, key, text).select(owner, key, F.explode(words("t", 3)).alias("term")).groupBy(owner, key, "term").agg(F.count("*").alias("tf"))
     n = df.groupBy(owner).agg(F.count("*").alias("docs"))
-    dfs = t.groupBy(owner, "term").agg(F.count("*").alias("df"))
-    w = t.join(dfs, [owner, "term"]).join(n, owner).withColumn("x", (1 + F.ln("tf")) * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    t = t.where(F.col(owner).isNotNull()).withColumn("df", F.count("*").over(W.partitionBy(owner, "term")))
+    w = t.join(n, owner).withColumn("x", (1 + F.ln("tf")) * (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    w = w.select(owner, key, "term", "docs", "x")
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
     mean = w.withColumn("x", F.col("x") / norm).groupBy(owner, "term", "docs").agg(F.sum("x").alias("s"))
     scored = mean.select(owner, "term", F.round(F.col("s") / F.col("docs"), 9).alias("w"))
@@ -89,9 +95,8 @@ def profiles(df: DataFrame, owner: str, key: str, text: Column, top: int) -> Dat
 
 def profile_scores(df: DataFrame, owner: str, key: str, text: Column, profile: DataFrame) -> DataFrame:
     """Each text under its owner's profile: sum of the words' weights over log(1 + words), at most one."""
-    n = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
-    t = terms(df.select(key, text.alias("t")), key, F.col("t"), 3).join(df.select(owner, key, n.alias("n")), key)
-    hit = t.join(profile, [owner, "term"]).groupBy(key, "n").agg(F.sum("w").alias("s"))
+    t = _dealt(df, owner, key, text).select(owner, key, F.size(words("t")).alias("n"), F.explode(F.array_distinct(words("t", 3))).alias("term"))
+    hit = t.join(settle(profile), [owner, "term"]).groupBy(key, "n").agg(F.sum("w").alias("s"))
     return hit.select(key, F.least(F.lit(1.0), F.col("s") / F.log1p("n")).alias("score"))
 
 
