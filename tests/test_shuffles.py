@@ -54,3 +54,16 @@ def test_words_of_profiles_are_counted_where_their_texts_are(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert not re.search(r"Exchange hashpartitioning\((source#\d+, )?id#\d+[^,]*, term#", plan)
     assert len(re.findall(r"Exchange hashpartitioning\(id#\d+", plan)) == 2  # texts, then weights
+
+
+def test_words_of_an_index_travel_as_texts(spark, monkeypatch):
+    plans, plain = [], R.settle
+    monkeypatch.setattr(R, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ix = R.index(titles(spark), "id", F.col("title"), keep=["lang"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plans[0].count("Exchange") == 1 and "tf" in ix.postings.columns
+    row = ix.stats.first()
+    assert (row.docs, row.mean) == (40, sum(len(r.title.split()) for r in titles(spark).collect()) / 40)
