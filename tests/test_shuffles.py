@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import digest as D
 from tidemark.operators import ranking as R
+from tidemark.operators import relations as N
 
 
 def titles(spark, n=40):
@@ -67,3 +68,15 @@ def test_words_of_an_index_travel_as_texts(spark, monkeypatch):
     assert plans[0].count("Exchange") == 1 and "tf" in ix.postings.columns
     row = ix.stats.first()
     assert (row.docs, row.mean) == (40, sum(len(r.title.split()) for r in titles(spark).collect()) / 40)
+
+
+def test_texts_travel_once_for_their_entities(spark):
+    names = spark.createDataFrame([("alpha betas", "sector", "A"), ("gamma", "country", "G")], "term string, kind string, label string")
+    firms = spark.createDataFrame([("NV", "Nv", None)], "symbol string, name string, sector string")
+    df = titles(spark).withColumn("s", F.lit(4.0))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = N.normalised(df, "id", F.col("title"), F.col("lang"), F.col("s"), names, firms, ["Minister"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"Exchange \w+partitioning", plan)) == 1
