@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import digest as D
 from tidemark.operators import ranking as R
 from tidemark.operators import relations as N
+from tidemark.operators import rules as O
 
 
 def titles(spark, n=40):
@@ -80,3 +81,14 @@ def test_texts_travel_once_for_their_entities(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(re.findall(r"Exchange \w+partitioning", plan)) == 1
+
+
+def test_texts_are_lowered_once_for_all_terms(spark):
+    df = titles(spark)
+    crises = O.crises(df, "id", F.col("title"), F.lit(8.0), {"A": (0.5, ["alpha", "gam"]), "B": (1.0, ["zz", "kappa"])})
+    labels = D.label_hits(df, "id", F.col("title"), {"A": (["alpha", "gam"], 0.5), "B": (["zz", "kappa"], 1.0)})
+    for out in (crises, labels):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    want = {(r.id, "A"): ("alpha" in r.title) + ("gam" in r.title) for r in df.collect()} | {(r.id, "B"): int("kappa" in r.title) for r in df.collect()}
+    assert {(r.id, r.pattern): r.hits for r in crises.collect()} == {k: v for k, v in want.items() if v}
+    assert {(r.id, r.label): r.hits for r in labels.collect()} == {k: v for k, v in want.items() if v}

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import series as S
 from tidemark.operators.kpis import top_per_group
-from tidemark.operators.text import hits, words
+from tidemark.operators.text import hits_in, words
 from tidemark.session import settle
 
 
 def label_hits(df: DataFrame, key: str, text: Column, patterns: dict[str, tuple[list[str], float]]) -> DataFrame:
     """key, label, hits and weighted hits of every pattern (terms, weight) that has a hit."""
-    each = F.array(*[F.struct(F.lit(n).alias("label"), hits(text, t).alias("hits"), F.lit(float(w)).alias("w")) for n, (t, w) in patterns.items()])
-    x = df.select(key, F.explode(F.filter(each, lambda p: p["hits"] > 0)).alias("x"))
+    each = F.array(*[F.struct(F.lit(n).alias("label"), hits_in(F.col("__low"), t).alias("hits"), F.lit(float(w)).alias("w")) for n, (t, w) in patterns.items()])
+    low = df.select(key, F.lower(text).alias("__low"))  # a step of its own, or each term lowers the text anew
+    x = low.select(key, F.explode(F.filter(each, lambda p: p["hits"] > 0)).alias("x"))
     return x.select(key, "x.label", "x.hits", (F.col("x.hits") * F.col("x.w")).alias("weighted"))
 
 
