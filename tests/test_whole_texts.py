@@ -50,3 +50,15 @@ def test_text_graph_links_behind_character_500(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.src, r.tgt, r.evidence) for r in catalog.QUERIES["g28_text_graph"](spark, str(tmp_path)).collect()]
     assert got == [("Zebra", "Otter", 1)]
+
+
+def test_tfidf_gives_words_of_many_texts(spark, folder):
+    path, rows = folder
+    got = {(r.doc_id, r.term): r.w for r in catalog.QUERIES["t22_tfidf"](spark, path).collect()}
+    more = spark.createDataFrame([(9, "dolor", "en", "a")], "doc_id long, text string, lang string, source string")
+    more.write.mode("append").parquet(f"{path}/documents.parquet")
+    again = {(r.doc_id, r.term): r.w for r in catalog.QUERIES["t22_tfidf"](spark, path).collect()}
+    assert set(got) == {(i, w) for i, t, _, _ in rows for w in re.findall("[a-z]{3,}", t.lower())}
+    assert set(again) == set(got) | {(9, "dolor")} and again[9, "dolor"] == 1.0  # dolor now stands in four texts
+    for i, _, _, _ in rows:
+        assert sum(w * w for (k, _), w in again.items() if k == i) == pytest.approx(1, abs=1e-4)
