@@ -62,3 +62,13 @@ def test_tfidf_gives_words_of_many_texts(spark, folder):
     assert set(again) == set(got) | {(9, "dolor")} and again[9, "dolor"] == 1.0  # dolor now stands in four texts
     for i, _, _, _ in rows:
         assert sum(w * w for (k, _), w in again.items() if k == i) == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("name", ["t14_ranked", "t14_stemmed"])
+def test_ranked_search_uses_words_behind_the_eighth(spark, folder, name):
+    path, _ = folder
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    items = [("q1", "one two three four five six seven eight otter"), ("q2", "a b c d e f g h i j k")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = {(r.query_id, r.place): r.doc_id for r in catalog.QUERIES[name](spark, path).collect()}
+    assert got == {("q1", 1): 3, ("q1", 2): 2}
